@@ -10,9 +10,12 @@ from tessera.llm.common import table
 from tessera.llm.decontam import contamination
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.packing import pack_documents
+from tessera.llm.passages import repeated_passages
 from tessera.llm.secrets import find_secrets, span_list
 from tessera.llm.simhash import simhash_components
 from tessera.llm.token_counts import token_counts
+from tessera.llm.toxicity import score, train
+from tessera.llm.vectors import near_vectors
 from tessera.llm.wavelet import token_files
 
 BPE = "byte_bpe_50k.json"
@@ -23,6 +26,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), least=0.8)
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, least=0.8)
 
@@ -50,8 +61,16 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokens.public_path(BPE), end_id=0)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = (op1_line_dedup, op2_substring_dedup, op3_embedding_near_dedup, op4_decontamination, op5_secret_scan, op6_best_fit_packing, op7_simhash_near_dedup, op8_token_counts, op9_token_files, op10_toxicity)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op4_decontamination, op5_secret_scan, op6_best_fit_packing, op7_simhash_near_dedup, op8_token_counts, op9_token_files)}
+    return {f.__name__: f for f in QUERIES}
 
 
 #: Lines by document with what each key's smallest document is.
