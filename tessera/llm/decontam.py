@@ -126,9 +126,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least:
     if not windows.take(1):
         return spark.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, similarity double, n_windows long")
 
-    # the windows of a document are cut from it where it lies
+    # windows are cut from the documents that have any; what the join moves is text, from which shingles are made again
     laid = windows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("laid"))
-    hit_docs = shingled.join(laid, "doc_id").select("doc_id", "s", F.explode("laid").alias("l")).select("doc_id", "s", F.greatest("l.start", F.lit(0)).alias("start"), F.col("l.n_words").alias("n_words"))
+    hit_docs = with_shingles(rows.join(laid.hint("merge"), "doc_id"), words).select("doc_id", "s", F.explode("laid").alias("l")).select("doc_id", "s", F.greatest("l.start", F.lit(0)).alias("start"), F.col("l.n_words").alias("n_words"))
     last = F.least(F.col("start") + F.greatest(F.col("n_words") - words + 1, F.lit(1)), F.size("s"))
     cut = hit_docs.filter(F.col("start") < F.size("s")).select("doc_id", "start", "n_words", F.slice("s", F.col("start") + 1, last - F.col("start")).alias("s")).dropDuplicates(["doc_id", "start", "n_words"])
     cut = cut.select("doc_id", "start", "n_words", "s", simhash(F.col("s")).alias("fp"))
