@@ -103,15 +103,14 @@ class WaveletMatrix:
         return block * STEP + int(np.flatnonzero(bits == one)[k - int(have[block])])
 
     def decode(self) -> np.ndarray:
-        """All ids: each plane's bits are put back in the order of the plane above."""
-        at = np.arange(self.n, dtype=np.uint32)
+        """All ids: from the last plane up, each parting into zeros and ones is undone by two sequential writes."""
         values = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
-        for level in range(self.bits):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little")
-            ones = np.cumsum(bit, dtype=np.uint32)
-            here = bit[at]
-            values = (values << 1) | here
-            at = np.where(here, self.zeros[level] + ones[at] - 1, at - ones[at]).astype(np.uint32)
+        for level in range(self.bits - 1, -1, -1):
+            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            above = np.empty_like(values)
+            above[~bit] = values[: self.zeros[level]]
+            above[bit] = values[self.zeros[level] :] | values.dtype.type(1 << (self.bits - 1 - level))
+            values = above
         return values
 
 
