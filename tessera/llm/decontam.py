@@ -131,7 +131,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least:
     hit_docs = with_shingles(rows.join(laid.hint("merge"), "doc_id"), words).select("doc_id", "s", F.explode("laid").alias("l")).select("doc_id", "s", F.greatest("l.start", F.lit(0)).alias("start"), F.col("l.n_words").alias("n_words"))
     last = F.least(F.col("start") + F.greatest(F.col("n_words") - words + 1, F.lit(1)), F.size("s"))
     cut = hit_docs.filter(F.col("start") < F.size("s")).select("doc_id", "start", "n_words", F.slice("s", F.col("start") + 1, last - F.col("start")).alias("s")).dropDuplicates(["doc_id", "start", "n_words"])
-    cut = cut.select("doc_id", "start", "n_words", "s", simhash(F.col("s")).alias("fp"))
+    # written twice, as plans that fold slicing, hashing and filing into each other compile to methods of gigabytes
+    cut = scratch.cut(cut, "cut")
+    cut = scratch.cut(cut.select("doc_id", "start", "n_words", "s", simhash(F.col("s")).alias("fp")), "cut-fingerprints")
 
     filed = items.select("n_words", F.explode(block_keys(F.col("fp"), FLIPS)).alias("key"), F.col("fp").alias("item_fp"), "item_id", F.col("s").alias("item_s"))
     asked = cut.select("doc_id", "start", "n_words", "s", "fp", F.explode(block_keys(F.col("fp"), 0)).alias("key"))
