@@ -108,7 +108,7 @@ def clean_elements(elements: DataFrame, normalise: bool = True) -> DataFrame:
 
 def cleaning_report(cleaned: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Fixes by rule, largest first."""
-    return cleaned.select(*by, F.explode("fixes").alias("rule", "n")).groupBy(*by, "rule").agg(F.sum("n").alias("n")).orderBy(*by, F.desc("n"), "rule")
+    return cleaned.select(*by, F.explode_outer("fixes").alias("rule", "n")).filter("rule IS NOT NULL").groupBy(*by, "rule").agg(F.sum("n").alias("n")).orderBy(*by, F.desc("n"), "rule")
 
 
 def cleaning_summary(cleaned: DataFrame, top: int = 3) -> DataFrame:
