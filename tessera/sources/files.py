@@ -94,7 +94,7 @@ def file_elements(files: DataFrame, parsers: dict[str, Parser] | None = None) ->
     ``parsers`` add formats (PDF, office files, media) by extension; files without a parser give no elements
     and show in :func:`skipped`.
     """
-    text = files.withColumn("text", F.decode("content", F.lit("UTF-8")))
+    text = files.withColumn("text", F.decode("content", "UTF-8"))
     of = lambda *ext: text.filter(F.col("extension").isin(*ext))
     parts = [
         text_elements(of(".txt", ".asciidoc"), r"\n\s*\n"), markdown_elements(of(".md")), csv_elements(of(".csv")),
