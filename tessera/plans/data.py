@@ -169,7 +169,7 @@ def conversation_class(spark, sf_dir):
 
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t0, epoch_us(ts) / 1e6 + value AS t1, event_type FROM events),
 s AS (SELECT user_id, min(t0) FILTER (WHERE event_type <> 'view') AS s0, max(t1) FILTER (WHERE event_type <> 'view') AS s1, min(t0) FILTER (WHERE event_type = 'view') AS v0, max(t1) FILTER (WHERE event_type = 'view') AS v1 FROM e GROUP BY user_id)
-SELECT user_id, CASE WHEN s0 IS NULL AND v0 IS NULL THEN 0.0 WHEN s0 IS NULL OR v0 IS NULL THEN 0.3 ELSE round(0.6 * greatest(0, least(s1, v1) - greatest(s0, v0)) / greatest(greatest(s1, v1) - least(s0, v0), 1e-6) + 0.4 * 0.5, 4) END AS score FROM s""")
+SELECT user_id, CASE WHEN s0 IS NULL AND v0 IS NULL THEN CAST(0 AS DOUBLE) WHEN s0 IS NULL OR v0 IS NULL THEN CAST(0.3 AS DOUBLE) ELSE round(0.6 * greatest(0, least(s1, v1) - greatest(s0, v0)) / greatest(greatest(s1, v1) - least(s0, v0), 1e-6) + 0.4 * 0.5, 4) END AS score FROM s""")
 def fusion_confidence(spark, sf_dir):
     t = timed(spark, sf_dir)
     said, seen = F.col("kind") == "speech_segment", F.col("kind") == "visual_event"
@@ -193,7 +193,7 @@ UNITS_SQL = f"WITH RECURSIVE {ELEMENTS_SQL}, {PACK_SQL}, un AS (SELECT doc_id, C
 POINTERS_SQL = " OR ".join(f"regexp_matches(content, '{p}')" for p in (r"(?i)\bas (shown|described|noted|mentioned|discussed) (above|earlier|previously|below)\b", r"(?i)\bthis (table|figure|section|chart|diagram|approach|result|data)\b", r"(?i)\bthe (former|latter)\b", r"^(This|These|It|They)\b", r"(?i)\bsee (table|figure|fig\.?|section)\s+\d+\b"))
 
 
-@query(UNITS_SQL + f" SELECT doc_id, seq, CASE WHEN {POINTERS_SQL} THEN 0.0 ELSE 0.5 END AS context_completeness, CAST(CASE WHEN {POINTERS_SQL} THEN 2 ELSE 1 END AS INT) AS n_missing FROM un")
+@query(UNITS_SQL + f" SELECT doc_id, seq, CAST(CASE WHEN {POINTERS_SQL} THEN 0.0 ELSE 0.5 END AS DOUBLE) AS context_completeness, CAST(CASE WHEN {POINTERS_SQL} THEN 2 ELSE 1 END AS INT) AS n_missing FROM un")
 def completeness(spark, sf_dir):
     return quality.completeness(packed(spark, sf_dir)).select("doc_id", "seq", "context_completeness", F.size("missing_context").alias("n_missing"))
 
@@ -210,7 +210,7 @@ def hierarchy_links(spark, sf_dir):
     return links.hierarchy_links(u).select("parent", "child")
 
 
-@query(UNITS_SQL + f", c AS (SELECT *, {tok('content')} AS n FROM un) SELECT CAST(count(*) AS BIGINT) AS n_units, 0.0 AS coherence, round(avg(CASE WHEN {POINTERS_SQL} THEN 0.0 ELSE 0.5 END), 3) AS completeness, round(avg(CASE WHEN n < 40 THEN 1.0 ELSE 0.0 END), 3) AS fragmentation, round(stddev_pop(n), 2) AS size_deviation FROM c")
+@query(UNITS_SQL + f", c AS (SELECT *, {tok('content')} AS n FROM un) SELECT CAST(count(*) AS BIGINT) AS n_units, CAST(0 AS DOUBLE) AS coherence, round(avg(CASE WHEN {POINTERS_SQL} THEN 0.0 ELSE 0.5 END), 3) AS completeness, round(avg(CASE WHEN n < 40 THEN 1.0 ELSE 0.0 END), 3) AS fragmentation, round(stddev_pop(n), 2) AS size_deviation FROM c")
 def unit_metrics(spark, sf_dir):
     return evaluate.unit_metrics(quality.completeness(packed(spark, sf_dir)))
 
@@ -272,7 +272,7 @@ def semantic_groups(spark, sf_dir):
 
 @query("""WITH c AS (SELECT CASE o_custkey % 4 WHEN 0 THEN 'gemini-2.5-flash' WHEN 1 THEN 'gemini-2.5-flash-lite' WHEN 2 THEN 'ollama/qwen3:4b' ELSE 'other-model' END AS model, CAST(o_orderkey AS BIGINT) AS i, CAST(o_custkey AS BIGINT) AS o, CAST(o_orderkey // 2 AS BIGINT) AS h FROM orders),
 g AS (SELECT model, count(*) AS calls, sum(i) AS i, sum(o) AS o, sum(h) AS h FROM c GROUP BY model)
-SELECT model, CAST(calls AS BIGINT) AS calls, CAST(i AS BIGINT) AS in_tokens, CAST(o AS BIGINT) AS out_tokens, CAST(h AS BIGINT) AS cached_tokens, CASE WHEN model LIKE 'ollama/%' THEN 0.0 ELSE round((greatest(0, i - h) * 0.30 + h * 0.075 + o * 2.50) / 1e6, 6) END AS cost_usd, model LIKE 'ollama/%' AS local, model = 'other-model' AS estimated, round(100.0 * h / i, 1) AS cache_hit_pct FROM g""")
+SELECT model, CAST(calls AS BIGINT) AS calls, CAST(i AS BIGINT) AS in_tokens, CAST(o AS BIGINT) AS out_tokens, CAST(h AS BIGINT) AS cached_tokens, CASE WHEN model LIKE 'ollama/%' THEN CAST(0 AS DOUBLE) ELSE round((greatest(0, i - h) * 0.30 + h * 0.075 + o * 2.50) / 1e6, 6) END AS cost_usd, model LIKE 'ollama/%' AS local, model = 'other-model' AS estimated, round(100.0 * h / i, 1) AS cache_hit_pct FROM g""")
 def usage_ledger(spark, sf_dir):
     """Orders as model calls; the lite model is billed as the one that its name begins with."""
     m = F.col("o_custkey") % 4

@@ -141,7 +141,7 @@ def norm_texts(spark, sf_dir):
 
 ANAPHORA_SQL = r"(?im)\bas (shown|described|noted|mentioned|discussed) (above|earlier|previously|below)\b|\bthis (table|figure|section|chart|diagram|approach|result)\b|\bthe (former|latter)\b|^(This|These|It|They)\b"
 SENTENCES_SQL = r"list_filter(string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
-RATE_SQL = "CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: regexp_matches(x, '" + ANAPHORA_SQL + "'))) / len(s) ELSE 0 END"
+RATE_SQL = "CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: regexp_matches(x, '" + ANAPHORA_SQL + "'))) / len(s) ELSE CAST(0 AS DOUBLE) END"
 
 
 @query(f"WITH d AS (SELECT doc_id, {SENTENCES_SQL.format('text')} AS s FROM documents) SELECT doc_id, CAST(len(s) AS INT) AS n_sentences, round({RATE_SQL}, 6) AS rate, {RATE_SQL} > 0.10 AS escalated FROM d")
@@ -173,7 +173,7 @@ def packed_units(spark, sf_dir):
 
 @query(f"""WITH {ELEMENTS_SQL}, r AS (SELECT *, sum(tokens) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dist, sum(tokens) OVER (PARTITION BY doc_id) AS total FROM el),
 q AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM r),
-c AS (SELECT doc_id, pos, round(0.8 * 0.5 - 0.6 * abs(dist - 500) / 500.0, 9) AS score FROM q WHERE pos > 0 AND total > 700)
+c AS (SELECT doc_id, pos, round(CAST(0.4 AS DOUBLE) - CAST(0.6 AS DOUBLE) * abs(dist - 500) / 500, 9) AS score FROM q WHERE pos > 0 AND total > 700)
 SELECT doc_id, pos, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS k FROM c) WHERE k = 1""")
 def best_cut(spark, sf_dir):
     """The first cut of documents of more than 700 tokens."""
@@ -209,7 +209,7 @@ def fixed_chunks(spark, sf_dir):
 
 @query(f"""WITH {GROUPED_SQL}, p AS (SELECT doc_id, pos, kind, last_value(CASE WHEN kind = 'heading' THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS par FROM gel),
 w AS (SELECT doc_id, par, pos FROM p WHERE kind <> 'heading' AND par IS NOT NULL),
-d AS (SELECT doc_id, par + 1 AS pos, 0.95 AS d FROM w UNION ALL SELECT doc_id, pos + 1, -0.95 FROM w),
+d AS (SELECT doc_id, par + 1 AS pos, CAST(0.95 AS DOUBLE) AS d FROM w UNION ALL SELECT doc_id, pos + 1, CAST(-0.95 AS DOUBLE) FROM w),
 g AS (SELECT doc_id, pos, sum(d) AS d FROM d GROUP BY ALL)
 SELECT doc_id, pos, round(sum(coalesce(d, 0)) OVER (PARTITION BY doc_id ORDER BY pos), 4) + 0.0 AS loss FROM gel LEFT JOIN g USING (doc_id, pos) QUALIFY pos > 0""")
 def relationship_loss_prefix(spark, sf_dir):
