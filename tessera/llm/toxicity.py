@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches, texts
 
-#: Stands before every window, when training and when measuring: zstd stores very short inputs as they are.
+#: Stands before every window and ends every dictionary: zstd stores very short inputs as they are.
 LEAD = b"window of words to be weighed: "
 #: Windows whose lengths a task remembers at a time.
 MEMO = 300_000
 #: Bytes saved by the toxic dictionary, from which windows are tallied.
 MARGINS = tuple(range(-2, 9))
+#: How much more often (as a logarithm) toxic documents have a window that can tell them, and what ordinary
+#: windows stay below; the documents that a window must add, and the windows that each document should have.
+TELLING, PLAIN, LEAST, COVER = 2.5, 0.5, 3, 2
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -34,13 +38,17 @@ def windows(text: str, words: int = 1) -> list[bytes]:
 
 
 class Lengths(dict):
-    """Compressed lengths of windows under one dictionary, each measured once."""
+    """Compressed lengths of windows under one dictionary, each measured once.
+
+    Matches of three bytes count and the cheapest parsing is looked for, as the gain of a word is a few bytes.
+    """
 
     def __init__(self, dictionary: bytes, level: int) -> None:
         super().__init__()
-        loaded = zstandard.ZstdCompressionDict(dictionary)
-        loaded.precompute_compress(level=level)
-        self.compress = zstandard.ZstdCompressor(level=level, dict_data=loaded, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        loaded = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(level, source_size=64, dict_size=len(dictionary), min_match=3, strategy=zstandard.STRATEGY_BTULTRA, search_log=5, target_length=64, window_log=18, write_content_size=0, write_checksum=0, write_dict_id=0)
+        loaded.precompute_compress(compression_params=how)
+        self.compress = zstandard.ZstdCompressor(dict_data=loaded, compression_params=how).compress
 
     def __missing__(self, window: bytes) -> int:
         if len(self) >= MEMO:
@@ -79,40 +87,68 @@ class Measure:
         return np.concatenate([tally / n, math.log(n) * tally[3:] / n, np.log1p(tally[4:10])])
 
 
-def train_dictionary(counts: Counter, size: int, level: int) -> bytes:
-    """A dictionary over windows, each as often as documents have it, 60 times at most; all of them as raw content where too few to train."""
-    kept = sorted(counts, key=lambda w: (-counts[w], w))
-    repeated = [w for w in kept for _ in range(min(counts[w], 60))]
-    order = np.random.default_rng(0).permutation(len(repeated))
-    samples = [LEAD + b"".join(repeated[i] for i in order[k : k + 8]) for k in range(0, len(order), 8)]
-    try:
-        return zstandard.train_dictionary(size, samples, level=level).as_bytes()
-    except zstandard.ZstdError:
-        return (b"".join(reversed(kept)) + LEAD)[-size:].rjust(8, b" ")
+def as_dictionary(windows: list[bytes], size: int) -> bytes:
+    """Windows as raw content of up to ``size`` bytes, the first ones at the end, where zstd reaches them most cheaply."""
+    out, n = [LEAD], 0
+    for window in windows:
+        if n + len(window) > size:
+            break
+        out.append(window)
+        n += len(window)
+    return b"".join(reversed(out))
 
 
-def dictionaries(documents: list[tuple[int, frozenset]], size: int, level: int) -> tuple[bytes, bytes]:
-    """Of windows that are frequent in one class: in the toxic one at e**1.5 times the rate of the other, in the ordinary one below e**0.5 times."""
+def covering(documents: list[frozenset], candidates: dict[bytes, int]) -> list[bytes]:
+    """Few windows that between them stand in each document COVER times.
+
+    Greedy: the window comes next that the most documents still need, less twice the ordinary documents
+    that have it (``candidates`` gives their number), until none adds LEAST. So the dictionary holds what
+    tells the class and little else that ordinary words could match.
+    """
+    holders: dict[bytes, list[int]] = {}
+    for k, found in enumerate(documents):
+        for w in found & candidates.keys():
+            holders.setdefault(w, []).append(k)
+    need = [COVER] * len(documents)
+    heap = [(2 * candidates[w] - len(h), w) for w, h in holders.items()]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        was, w = heapq.heappop(heap)
+        now = 2 * candidates[w] - sum(need[k] > 0 for k in holders[w])
+        if now > -LEAST:
+            continue
+        if now > was and heap and now > heap[0][0]:
+            heapq.heappush(heap, (now, w))
+            continue
+        out.append(w)
+        for k in holders[w]:
+            need[k] -= 1
+    return out
+
+
+def dictionaries(documents: list[tuple[int, frozenset]], toxic_size: int, ordinary_size: int) -> tuple[bytes, bytes]:
+    """One of the windows that cover the toxic documents among those they have far more often, and one of the most frequent ordinary windows."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     docs = [0, 0]
     for label, found in documents:
         seen[label].update(found)
         docs[label] += 1
-    least = 3 if min(docs) >= 50 else 1
     rate = lambda w, k: math.log((seen[k][w] + 0.5) / (docs[k] + 1))
-    toxic = Counter({w: n for w, n in seen[1].items() if n >= least and rate(w, 1) - rate(w, 0) > 1.5})
-    ordinary = Counter({w: n for w, n in seen[0].items() if n >= least and rate(w, 1) - rate(w, 0) < 0.5})
-    return train_dictionary(toxic, size, level), train_dictionary(ordinary, size, level)
+    telling = {w: seen[0][w] for w, n in seen[1].items() if n >= LEAST and rate(w, 1) - rate(w, 0) > TELLING}
+    plain = {w: n for w, n in seen[0].items() if n >= 2 and rate(w, 1) - rate(w, 0) < PLAIN}
+    toxic = covering([found for label, found in documents if label], telling)
+    return as_dictionary(toxic, toxic_size), as_dictionary(sorted(plain, key=lambda w: (-plain[w], w)), ordinary_size)
 
 
-def fit(rows: list[tuple[int, str]], weight: tuple[float, float], size: int = 8192, level: int = 12, words: int = 1) -> Model:
+def fit(rows: list[tuple[int, str]], weight: tuple[float, float], toxic_size: int = 4096, ordinary_size: int = 65_536, level: int = 12, words: int = 1) -> Model:
     """Train on (label, text) rows.
 
     Of three rows in order two go to the dictionaries, the third to the thresholds and weights, which so
     rest on texts that the dictionaries have not seen. ``weight`` is that of a row of each class.
     """
     found = [(label, frozenset(windows(text, words))) for k, (label, text) in enumerate(rows) if k % 3]
-    toxic, ordinary = dictionaries(found, size, level)
+    toxic, ordinary = dictionaries(found, toxic_size, ordinary_size)
     measure = Measure(toxic, ordinary, level, words)
     width = len(measure(""))
     x = np.array([measure(text) for _, text in rows[::3]]).reshape(-1, width)
