@@ -90,5 +90,26 @@ FROM held GROUP BY doc_id
 """
 
 
+_KINDS = (
+    ("assign", r"(?i:(?:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?[A-Za-z0-9+/_.=-]+"),
+    ("access", r"AKIA[A-Z0-9]{16,}"),
+    ("hex", r"[0-9a-f]{24,}"),
+    ("owned", r"[A-Za-z0-9+/_=-]{20,}"),
+)
+#: Matches and the gaps between them alternate through a text, so running lengths give their places.
+_SECRETS = "WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents), raw AS (" + "\nUNION ALL ".join(
+    f"SELECT doc_id, source, {k} AS kind, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(list_slice(string_split_regex(text, '{p}'), 1, len(regexp_extract_all(text, '{p}')))) AS gap, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS k FROM d" for k, (_, p) in enumerate(_KINDS)
+) + r"""),
+placed AS (SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id, kind ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM raw WINDOW w AS (PARTITION BY doc_id, kind ORDER BY k)),
+valued AS (SELECT doc_id, source, kind, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e, CASE WHEN kind = 0 THEN regexp_extract(m, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE m END AS v FROM placed),
+base AS (SELECT * FROM valued WHERE kind < 3 AND NOT (kind = 0 AND length(v) < 6)),
+apart AS (SELECT * FROM valued o WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.s < o.e AND o.s < b.e)),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM apart), held AS (SELECT v, count(DISTINCT source) AS owners FROM found GROUP BY v),
+named AS (SELECT f.*, owners, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e AS t FROM found f JOIN held USING (v) WHERE kind < 3 OR owners <= 1),
+lists AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS b, count(*) FILTER (WHERE kind = 2) AS c, string_agg(t, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3) AS base, string_agg(t, ',' ORDER BY s, kind, e) AS spans, count(*) FILTER (WHERE owners <= 1) AS live, count(*) FILTER (WHERE owners > 1) AS example FROM named GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access, CAST(coalesce(c, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(live, 0) AS BIGINT) AS n_live, CAST(coalesce(example, 0) AS BIGINT) AS n_example FROM d LEFT JOIN lists USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES}
+    return {"op1_line_dedup": _LINES, "op5_secret_scan": _SECRETS}

@@ -44,7 +44,7 @@ def matches(text: Column, pattern: str, kind: int, value_group: int = 0, least:
 def find_secrets(docs: DataFrame, repo: str = "source", owner: str | None = None, most_owners: int = 1, hidden: str | None = None) -> DataFrame:
     """Spans of secrets in every whole text, and who holds the same ones.
 
-    Returns a row for each row of ``docs``: ``doc_id``, ``spans`` (array of ``start, end, kind, h, n_repos,
+    Returns a row for each row of ``docs``: ``doc_id``, ``spans`` (array of ``start, kind, end, h, n_repos,
     n_owners``; places in code points, end exclusive, in order of start, then kind) and counts. The base
     kinds are always reported. Candidates of the kind ``owned`` are any key-like runs; their hashes, like
     those of the base kinds' values, are counted over the whole corpus by distinct repositories and owners:
@@ -71,7 +71,7 @@ def find_secrets(docs: DataFrame, repo: str = "source", owner: str | None = None
     of_hash = scratch.cut(held.groupBy("h").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"), F.sum("n").alias("n")), "held")
     known = join_hot(each.select("row", "s", "h"), of_hash, ["h"], "n")
     known = known.filter((F.col("s.kind") < 3) | (F.col("n_owners") <= most_owners))
-    span = F.struct("s.start", "s.end", "s.kind", "h", "n_repos", "n_owners")
+    span = F.struct("s.start", "s.kind", "s.end", "h", "n_repos", "n_owners")
     lists = known.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     out = scan.select("row", "doc_id").join(lists, "row", "left").drop("row")
     none = F.array().cast(dict(lists.dtypes)["spans"])
