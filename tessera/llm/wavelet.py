@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,7 +138,8 @@ def from_file(blob: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
     return WaveletMatrix(planes, [struct.unpack_from("<Q", f)[0] for f in frames[2:]], n), np.frombuffer(frames[0], "<i8"), np.frombuffer(frames[1], "<i8")
 
 
-SHARDS = "first_doc long, n_docs long, n_ids long, file binary"
+#: A shard file, what it holds, the task that wrote it and the ids which that task had written before.
+SHARDS = "first_doc long, n_docs long, n_ids long, task int, before long, file binary"
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_ids: int = 4_000_000, partitions: int | None = None) -> None:
@@ -155,18 +157,20 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, sh
         tok = tokens.load(tokenizer)
         ids: list[np.ndarray] = []
         doc_ids: list[int] = []
-        held = 0
+        held = before = 0
+        task = TaskContext.get().partitionId()
 
         def shard():
             flat = np.concatenate(ids)
             file = to_file(flat, doc_ids, [len(x) for x in ids])
-            return pa.RecordBatch.from_arrays([pa.array([doc_ids[0]], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([file], pa.binary())], ["first_doc", "n_docs", "n_ids", "file"])
+            row = {"first_doc": doc_ids[0], "n_docs": len(doc_ids), "n_ids": len(flat), "task": task, "before": before, "file": file}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("task", pa.int32()), ("before", pa.int64()), ("file", pa.binary())]))
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if held >= shard_ids and doc != doc_ids[-1]:  # a shard is known by its first document
+                if held >= shard_ids:
                     yield shard()
-                    ids, doc_ids, held = [], [], 0
+                    ids, doc_ids, held, before = [], [], 0, before + held
                 ids.append(np.append(tok.ids(text), end_id).astype(np.uint32))
                 doc_ids.append(doc)
                 held += len(ids[-1])
@@ -181,32 +185,32 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, sh
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """What the files hold, per document: ``doc_id, start, n_tokens, ids_crc32``.
 
-    A shard's start is the sum of the ids of the shards before it, taken over one row a shard.
+    A shard knows the ids before it in its task; what the tasks before have written is a running sum over
+    one row a task. Tasks have ranges of ``doc_id`` in ascending order.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     shards = spark.read.schema(SHARDS).parquet(path)
-    ahead, starts = 0, []
-    for r in sorted(shards.select("first_doc", "n_ids", "n_docs").collect()):
-        starts.append((r.first_doc, ahead))
-        ahead += r.n_ids
-    starts_of = dict(starts)
+    tasks = shards.groupBy("task").agg(F.sum("n_ids").alias("n")).collect()
+    ends = np.cumsum([0, *(r.n for r in sorted(tasks))])
+    bases = spark.createDataFrame([(r.task, int(e)) for r, e in zip(sorted(tasks), ends)], "task int, base long")
+    placed = shards.join(F.broadcast(bases), "task").select((F.col("base") + F.col("before")).alias("start"), "file")
 
     def take_back(batches):
         for batch in batches:
-            for first, file in zip(batch.column("first_doc").to_pylist(), batch.column("file").to_pylist()):
+            for start, file in zip(batch.column("start").to_pylist(), batch.column("file").to_pylist()):
                 wm, doc_ids, counts = from_file(file)
                 ids = wm.decode().astype("<u4")
                 ends = np.cumsum(counts)
                 crc = [zlib.crc32(ids[e - c : e].tobytes()) for e, c in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(ends - counts + starts_of[first]), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(ends - counts + start), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.mapInArrow(take_back, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(take_back, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(spark: SparkSession, path: str, folder: str) -> list[str]:
     """Put the shard files of a table into a local folder, one after the other, and return their names."""
     names = []
-    for r in spark.read.schema(SHARDS).parquet(path).orderBy("first_doc").toLocalIterator():
+    for r in spark.read.schema(SHARDS).parquet(path).orderBy("task", "before").toLocalIterator():
         names.append(f"{folder}/ids-{len(names):05d}.twm")
         with open(names[-1], "wb") as f:
             f.write(r.file)
