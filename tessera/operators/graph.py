@@ -42,7 +42,7 @@ def horizontal_overlap(a: Column, b: Column) -> Column:
 def hierarchy(e: DataFrame) -> DataFrame:
     children = e.filter("parent_id IS NOT NULL").select("doc_id", "id", "parent_id")
     parents = e.select("doc_id", F.col("id").alias("parent_id")).distinct()
-    return children.join(parents, ["doc_id", "parent_id"]).select(*_edge("parent_id", "id", "parent", 1.0, "heading ancestry", 1))
+    return children.join(parents, ["doc_id", "parent_id"]).select(*_edge("parent_id", "id", "parent", 1.0, "heading ancestry", 1.0))
 
 
 def declared_captions(e: DataFrame) -> DataFrame:
@@ -115,43 +115,58 @@ def overlaps(e: DataFrame, bucket: float = TIME_BUCKET) -> DataFrame:
     return met.filter(F.col("bucket") == F.floor(F.greatest("s0", "v0") / bucket)).drop("bucket")
 
 
+def neighbour_edges(e: DataFrame) -> DataFrame:
+    """Edges between neighbours in one pass over the reading order: order itself, prose before a float, questions and what follows."""
+    seen = e.select("doc_id", "pos", "id", "kind", F.length("text").alias("n"), is_question(F.col("text")).alias("asks"))
+    near = seen.select("doc_id", "id", "kind", "n", "asks", F.lead("id").over(reading()).alias("next_id"), F.lead("kind").over(reading()).alias("next_kind")).filter("next_id IS NOT NULL")
+
+    def edge(src: str, dst: str, kind: str, confidence: float, evidence: Column, rank: float) -> Column:
+        return F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), evidence.alias("evidence"), F.lit(IMPORTANCE[kind]).alias("importance"), F.lit(rank).alias("rank"))
+
+    told = F.col("next_kind").isin("table", "figure") & F.col("kind").isin("paragraph", "list_item") & (F.col("n") > 20)
+    answered = F.col("asks") & F.col("next_kind").isin("speech_segment", "paragraph")
+    found = F.array_compact(F.array(
+        edge("id", "next_id", "next", 1.0, F.lit("reading order"), 0.1),
+        F.when(told, edge("id", "next_id", "explains", 0.85, F.concat(F.lit("prose introduces adjacent "), "next_kind"), 4.0)),
+        F.when(told, edge("next_id", "id", "illustrated_by", 0.85, F.concat("next_kind", F.lit(" illustrated by preceding prose")), 4.0)),
+        F.when(answered, edge("id", "next_id", "answered_by", 0.90, F.lit("question answered by following element"), 5.0)),
+        F.when(answered, edge("next_id", "id", "question_for", 0.90, F.lit("answer directly addresses question"), 5.0)),
+    ))
+    return near.select("doc_id", F.inline_outer(found))
+
+
 def build_edges(elements: DataFrame) -> DataFrame:
     """All edges ``doc_id, src, dst, type, confidence, evidence, importance``.
 
     Where builders give an ordered pair several edges one stays: those of a higher rank overwrite, mentions
     and the reading order only fill what is free, and prose explains a float only where nothing links the
-    two yet.
+    two yet. Both directions of a pair are settled together, in one aggregation over all builders' edges.
     """
     e = elements
     declared = declared_captions(e)
     beside = adjacent_captions(e, declared)
     caps = declared.select("doc_id", "caption", "float", "k").unionByName(beside.select("doc_id", "caption", "float", F.lit(0).alias("k")))
     text = F.format_string("bbox adjacency: caption %.0fpt from %s on page %d", "gap", "float_kind", "page")
-    fixed = (
-        hierarchy(e)
-        .unionByName(declared.select(*_edge("caption", "float", "captions", 1.0, "declared caption", 2)))
-        .unionByName(declared.select(*_edge("float", "caption", "captioned_by", 1.0, "declared caption", 2)))
-        .unionByName(beside.select(*_edge("caption", "float", "captions", 0.8, text, 3)))
-        .unionByName(beside.select(*_edge("float", "caption", "captioned_by", 0.8, text, 3)))
-    )
-    mentions = references(e, caps)
-    before = fixed.unionByName(mentions)
-    told = explains(e).join(before.select("doc_id", F.col("src").alias("prose"), F.col("dst").alias("float")), ["doc_id", "prose", "float"], "left_anti")
-    qa = answers(e)
-    seen = overlaps(e)
     during = F.format_string("speech span (%.1fs–%.1fs) overlaps visual event (%.1fs–%.1fs)", "s0", "s1", "v0", "v1")
-    order = e.select("doc_id", F.col("id").alias("src"), F.lead("id").over(reading()).alias("dst")).filter("dst IS NOT NULL")
     every = (
-        before.unionByName(told.select(*_edge("prose", "float", "explains", 0.85, F.concat(F.lit("prose introduces adjacent "), "kind"), 4)))
-        .unionByName(told.select(*_edge("float", "prose", "illustrated_by", 0.85, F.concat("kind", F.lit(" illustrated by preceding prose")), 4)))
-        .unionByName(qa.select(*_edge("asks", "tells", "answered_by", 0.90, "question answered by following element", 5)))
-        .unionByName(qa.select(*_edge("tells", "asks", "question_for", 0.90, "answer directly addresses question", 5)))
-        .unionByName(seen.select(*_edge("speech", "visual", "occurs_during", 0.85, during, 6, 0.80)))
-        .unionByName(order.select(*_edge("src", "dst", "next", 1.0, "reading order", 0.1)))
+        hierarchy(e)
+        .unionByName(declared.select(*_edge("caption", "float", "captions", 1.0, "declared caption", 2.0)))
+        .unionByName(declared.select(*_edge("float", "caption", "captioned_by", 1.0, "declared caption", 2.0)))
+        .unionByName(beside.select(*_edge("caption", "float", "captions", 0.8, text, 3.0)))
+        .unionByName(beside.select(*_edge("float", "caption", "captioned_by", 0.8, text, 3.0)))
+        .unionByName(references(e, caps))
+        .unionByName(overlaps(e).select(*_edge("speech", "visual", "occurs_during", 0.85, during, 6.0, 0.80)))
+        .unionByName(neighbour_edges(e))
     )
-    value = F.struct("rank", "type", "confidence", "evidence", "importance")
-    best = every.groupBy("doc_id", "src", "dst").agg(F.max(value).alias("e"))
-    return best.select("doc_id", "src", "dst", "e.type", "e.confidence", "e.evidence", "e.importance")
+    value = F.struct("rank", "type", "confidence", "evidence", "importance", "src", "dst")
+    pairs = every.groupBy("doc_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.collect_list(value).alias("all"))
+    explaining = F.get(F.filter("all", lambda x: x["type"] == "explains"), F.lit(0))
+    linked = F.exists("all", lambda x: (x["src"] == explaining["src"]) & (x["rank"] < 4) & (x["rank"] > 0.1))
+    pairs = pairs.select("doc_id", "a", "b", F.when(F.coalesce(linked, F.lit(False)), F.filter("all", lambda x: ~x["type"].isin("explains", "illustrated_by"))).otherwise(F.col("all")).alias("all"))
+    ahead = F.array_max(F.filter("all", lambda x: x["src"] == F.col("a")))
+    back = F.array_max(F.filter("all", lambda x: (x["src"] == F.col("b")) & (F.col("a") != F.col("b"))))
+    settled = pairs.select("doc_id", F.inline_outer(F.array_compact(F.array(ahead, back)))).filter("src IS NOT NULL")
+    return settled.select("doc_id", "src", "dst", "type", "confidence", "evidence", "importance")
 
 
 def heading_paths(elements: DataFrame) -> DataFrame:

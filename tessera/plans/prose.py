@@ -12,6 +12,7 @@ from tessera.operators.graph import answers, build_edges, explains, heading_path
 from tessera.operators.profile import build_profile, route
 from tessera.plans.engine import Config, process
 from tessera.plans.registry import query, table
+from tessera.plans.scratch import Scratch
 from tessera.schema import elements as as_elements
 from tessera.sources.html import html_elements
 from tessera.sources.text import text_elements, with_parents
@@ -177,8 +178,9 @@ c AS (SELECT doc_id, pos, round(CAST(0.4 AS DOUBLE) - CAST(0.6 AS DOUBLE) * abs(
 SELECT doc_id, pos, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS k FROM c) WHERE k = 1""")
 def best_cut(spark, sf_dir):
     """The first cut of documents of more than 700 tokens."""
-    e = elements(spark, sf_dir)
-    edges = build_edges(e)
+    scratch = Scratch(spark)
+    e = scratch.cut(elements(spark, sf_dir), "elements")
+    edges = scratch.cut(build_edges(e), "edges")
     total = Window.partitionBy("doc_id")
     regions = e.select("doc_id", "pos", fx.count_tokens("text").alias("tokens"), F.lit(0).alias("region")).withColumn("total", F.sum("tokens").over(total)).filter("total > 700")
     cuts = best_cuts(regions, candidates(e, edges), relationship_loss(e, edges))
@@ -188,8 +190,9 @@ def best_cut(spark, sf_dir):
 @query()
 def adaptive_units(spark, sf_dir):
     """The exact cut: each document's regions cut again and again; tested against a plain walk."""
-    e = elements(spark, sf_dir)
-    cuts = chunk.cut_regions(e.withColumn("region", F.lit(0).cast("int")), build_edges(e))
+    scratch = Scratch(spark)
+    e = scratch.cut(elements(spark, sf_dir), "elements")
+    cuts = scratch.cut(chunk.cut_regions(e.withColumn("region", F.lit(0).cast("int")), scratch.cut(build_edges(e), "edges")), "cuts")
     units = chunk.text_units(e, cuts)
     return units.select("doc_id", "unit", F.md5(F.col("content")).alias("content_md5"), "token_count", "overflow", "was_cut")
 
