@@ -106,8 +106,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least:
 
     Only the windows and the items' shingles are shuffled or, while they are few, broadcast. A null or empty
     text or item has no words and matches nothing; items of fewer than ``words`` words are one shingle.
-    Repeated rows give their pairs once; rows without an id are left out, as is text beyond other columns.
-    Empty tables give an empty result.
+    Repeated rows give their pairs once; rows without an id are left out; other columns are ignored. Empty
+    tables give an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
