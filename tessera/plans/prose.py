@@ -11,7 +11,7 @@ from tessera.operators.boundary import best_cuts, candidates
 from tessera.operators.graph import answers, build_edges, explains, heading_paths, references, relationship_loss, surrounding_text
 from tessera.operators.profile import build_profile, route
 from tessera.plans.engine import Config, process
-from tessera.plans.registry import query, table
+from tessera.plans.registry import query, spread, table
 from tessera.plans.scratch import Scratch
 from tessera.schema import elements as as_elements
 from tessera.sources.html import html_elements
@@ -45,7 +45,7 @@ pel AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) -
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def elements(spark, sf_dir):
@@ -54,7 +54,7 @@ def elements(spark, sf_dir):
 
 def page_elements(spark, sf_dir, group: int = 1):
     """Pages as elements; ``group`` neighbouring pages make one document."""
-    e = html_elements(table(spark, sf_dir, "pages"))
+    e = html_elements(spread(table(spark, sf_dir, "pages")))
     if group > 1:
         w = Window.partitionBy("g").orderBy("doc_id", "pos")
         e = e.withColumn("g", F.floor(F.col("doc_id") / group).cast("bigint")).withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("doc_id").withColumnRenamed("g", "doc_id").withColumn("id", F.concat(F.lit("el_"), F.col("pos").cast("string")))
