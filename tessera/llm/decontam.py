@@ -88,6 +88,32 @@ def block_keys(fp: Column, flips: int) -> Column:
     return F.array(*keys)
 
 
+def first_block(a: Column, b: Column) -> Column:
+    """The first block in which two fingerprints differ in at most ``FLIPS`` bits: of those where a pair meets, the one that counts."""
+    differ = a.bitwiseXOR(b)
+    return F.coalesce(*[F.when(F.bit_count(differ.bitwiseAND(F.lit(_signed(((1 << width) - 1) << first)))) <= FLIPS, F.lit(number)) for number, (first, width) in enumerate(block_bits())])
+
+
+def starts(at: Column, size: Column, long: Column, least: float) -> Column:
+    """Ranges ``lo, hi`` of the starts of windows of ``long`` shingles that may reach ``least``.
+
+    ``at`` are the places of shingles that count, ascending, in a document of ``size`` shingles. A whole window
+    needs 2 * long * least / (1 + least) of them. One that the document's end cuts needs least * long, and is
+    no shorter than that.
+    """
+
+    def ranges(need: Column, first: Column, last: Column) -> Column:
+        lo = lambda i: F.greatest(F.get(at, i + need - 1) - long + 1, first)
+        hi = lambda i: F.least(F.get(at, i), last)
+        rows = F.transform(F.sequence(F.lit(0), F.size(at) - need), lambda i: F.struct(F.when(i == 0, lo(i)).otherwise(F.greatest(lo(i), hi(i - 1) + 1)).alias("lo"), hi(i).alias("hi")))
+        return F.when(F.size(at) >= need, F.filter(rows, lambda r: r["lo"] <= r["hi"])).otherwise(F.array().cast("array<struct<lo:int,hi:int>>"))
+
+    count = lambda x: F.greatest(F.ceil(x - 1e-9).cast("int"), F.lit(1))
+    whole = ranges(count(long * (2 * least / (1 + least))), F.lit(0), size - long)
+    short = count(long * least)
+    return F.concat(whole, ranges(short, F.greatest(size - long + 1, F.lit(0)), size - short))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """Benchmark items found in documents: a row for each pair of document and item.
 
@@ -97,12 +123,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least:
     the weight of a shingle is its number of occurrences, the similarity the sum of the smaller weights over
     the sum of the larger.
 
-    A window that reaches any similarity above 0 has a shingle of the item. So windows are laid wherever a
-    shingle of some item stands, each aligned so that the shingle has the place that it has in the item;
-    that leaves out no window that matches an item and lays none elsewhere. Each window then gets a SimHash,
+    A window and an item that reach ``least`` have so many shingles in common that the window's own places
+    that hold a shingle of some item of that length are at least as many. So windows are laid at every start
+    from which that many places lie in the window, wherever in the item their shingles stand: copies with parts
+    in another order have their windows too, and what is skipped cannot reach ``least``. Windows that
+    the document's end cuts short count where no whole one reaches ``least``. Each window then gets a SimHash,
     and the multi-index finds all items of its length whose fingerprints lie within ``RADIUS`` bits: of
-    ``BLOCKS`` blocks one differs in at most ``FLIPS`` bits, so the items are filed under all values that
-    near to theirs. The exact similarity decides on each candidate.
+    ``BLOCKS`` blocks one differs in at most ``FLIPS`` bits, so the items are filed under all values that near
+    to theirs. The exact similarity decides on each candidate.
 
     Only the windows and the items' shingles are shuffled or, while they are few, broadcast. A null or empty
     text or item has no words and matches nothing; items of fewer than ``words`` words are one shingle.
@@ -115,22 +143,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least:
     items = scratch.cut(with_shingles(items, words).filter("n_words > 0").distinct(), "item-shingles")
     items = scratch.cut(items.select("item_id", "n_words", "s", simhash(F.col("s")).alias("fp")), "items")
 
-    # where each shingle stands in items of each length
-    seeds = scratch.cut(items.select("n_words", F.posexplode("s").alias("place", "h")).groupBy("h").agg(F.collect_set(F.struct("n_words", "place")).alias("uses")), "seeds")
+    # the lengths of the items that each shingle stands in
+    seeds = scratch.cut(items.select("n_words", F.explode("s").alias("h")).groupBy("h").agg(F.collect_set("n_words").alias("uses")), "seeds")
     few = seeds.count() <= BROADCAST_SHINGLES
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    shingled = with_shingles(rows, words).select("doc_id", "s")
-    places = shingled.select("doc_id", F.posexplode_outer("s").alias("at", "h"))  # an inner one would have its array filtered first, and made twice
-    hits = places.join(F.broadcast(seeds) if few else seeds, "h").select("doc_id", F.explode("uses").alias("u"), "at")
-    windows = scratch.cut(hits.select("doc_id", (F.col("at") - F.col("u.place")).alias("start"), F.col("u.n_words").alias("n_words")).distinct(), "windows")
+    shingled = with_shingles(rows, words).select("doc_id", F.size("s").alias("size"), "s")
+    places = shingled.select("doc_id", "size", F.posexplode_outer("s").alias("at", "h"))  # an inner one would have its array filtered first, and made twice
+    hits = places.join(F.broadcast(seeds) if few else seeds, "h").select("doc_id", "size", F.explode("uses").alias("n_words"), "at")
+    held = hits.groupBy("doc_id", "size", "n_words").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    long = F.greatest(F.col("n_words") - words + 1, F.lit(1))
+    windows = scratch.cut(held.select("doc_id", "n_words", F.explode(starts(F.col("at"), F.col("size"), long, least)).alias("r")).select("doc_id", "n_words", "r.lo", "r.hi"), "windows")
     if not windows.take(1):
         return spark.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, similarity double, n_windows long")
 
     # windows are cut from the documents that have any; what the join moves is text, from which shingles are made again
-    laid = windows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("laid"))
-    hit_docs = with_shingles(rows.join(laid.hint("merge"), "doc_id"), words).select("doc_id", "s", F.explode("laid").alias("l")).select("doc_id", "s", F.greatest("l.start", F.lit(0)).alias("start"), F.col("l.n_words").alias("n_words"))
-    last = F.least(F.col("start") + F.greatest(F.col("n_words") - words + 1, F.lit(1)), F.size("s"))
-    cut = hit_docs.filter(F.col("start") < F.size("s")).select("doc_id", "start", "n_words", F.slice("s", F.col("start") + 1, last - F.col("start")).alias("s")).dropDuplicates(["doc_id", "start", "n_words"])
+    laid = windows.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "n_words")).alias("laid"))
+    hit_docs = with_shingles(rows.join(laid.hint("merge"), "doc_id"), words).select("doc_id", "s", F.explode("laid").alias("l")).select("doc_id", "s", "l.lo", "l.hi", "l.n_words").filter(F.col("lo") < F.size("s"))
+    ranges = hit_docs.select("doc_id", "lo", "hi", "n_words", F.slice("s", F.col("lo") + 1, F.col("hi") - F.col("lo") + long).alias("s"))
+    each = ranges.select("doc_id", "lo", "n_words", "s", F.explode(F.sequence("lo", F.least(F.col("hi"), F.col("lo") + F.size("s") - 1))).alias("start"))
+    cut = each.select("doc_id", "start", "n_words", F.slice("s", F.col("start") - F.col("lo") + 1, long).alias("s")).dropDuplicates(["doc_id", "start", "n_words"])
     # written twice, as plans that fold slicing, hashing and filing into each other compile to methods of gigabytes
     cut = scratch.cut(cut, "cut")
     cut = scratch.cut(cut.select("doc_id", "start", "n_words", "s", simhash(F.col("s")).alias("fp")), "cut-fingerprints")
@@ -138,16 +169,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least:
     filed = items.select("n_words", F.explode(block_keys(F.col("fp"), FLIPS)).alias("key"), F.col("fp").alias("item_fp"), "item_id", F.col("s").alias("item_s"))
     asked = cut.select("doc_id", "start", "n_words", "s", "fp", F.explode(block_keys(F.col("fp"), 0)).alias("key"))
     near = asked.join(F.broadcast(filed) if few else filed, ["n_words", "key"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    near = near.filter(first_block(F.col("fp"), F.col("item_fp")) == F.shiftright("key", 8))
     exact = near.withColumn("similarity", bag_similarity(F.col("s"), F.col("item_s"))).filter(F.col("similarity") >= least)
-    each = exact.groupBy("doc_id", "item_id", "start", "n_words").agg(F.max("similarity").alias("similarity"))
-    best = each.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "n_words")).alias("b"), F.count("*").alias("n_windows"))
-    return best.select("doc_id", "item_id", (-F.col("b.col2")).alias("start_word"), "b.n_words", "b.similarity", "n_windows")
+    whole = (F.size("s") == long) | (F.col("start") == 0)
+    each = exact.groupBy("doc_id", "item_id", "start", "n_words").agg(F.max("similarity").alias("similarity"), F.max(whole).alias("whole"))
+    best = each.groupBy("doc_id", "item_id").agg(F.max(F.struct("whole", "similarity", -F.col("start"), "n_words")).alias("b"), F.count_if("whole").alias("n_whole"), F.count("*").alias("n"))
+    return best.select("doc_id", "item_id", (-F.col("b.col3")).alias("start_word"), "b.n_words", "b.similarity", F.when(F.col("b.whole"), F.col("n_whole")).otherwise(F.col("n")).alias("n_windows"))
 
 
 def bag_similarity(a: Column, b: Column) -> Column:
     """Sum of the smaller over sum of the larger weights of two bags of hashes."""
     count = lambda bag, x: F.size(F.filter(bag, lambda y: y == x))
-    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
+    once = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    common = F.when(once, F.size(F.array_intersect(a, b))).otherwise(F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x))))
     return common / (F.size(a) + F.size(b) - common)
 
 

@@ -227,6 +227,27 @@ def test_contamination(spark):
     assert left == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_contamination_of_parts_in_another_order(spark):
+    items = [(i, prose(n, f"order{i}")) for i, n in enumerate((40, 50, 59, 60, 200))]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        rows.append((i, prose(30, i) + " " + " ".join([*w[len(w) // 2 :], *w[: len(w) // 2]]) + " " + prose(70, -i)))
+        rows.append((10 + i, " ".join(w[len(w) // 3 :]) + " " + " ".join(w[: len(w) // 3]) + " " + prose(200, i)))
+        rows.append((20 + i, prose(30, i) + " " + " ".join([*w[len(w) // 2 :], *w[: len(w) // 2]])))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): round(x.similarity, 9) for x in decontam.contamination(docs(spark, rows), b).collect()}
+    want = contamination_by_hand(rows, items)
+    assert got == want and len(want) >= 12
+
+
+def test_contamination_at_the_end(spark):
+    w = prose(60, "cut").split()
+    b = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    got = {x.doc_id for x in decontam.contamination(docs(spark, [(1, prose(90, 1) + " " + " ".join(w[:51])), (2, prose(90, 2) + " " + " ".join(w[:45])), (3, " ".join(w[:55]))]), b).collect()}
+    assert got == {1, 3}
+
+
 def test_contamination_odd(spark):
     b = spark.createDataFrame([(1, "no id at all here now"), (2, None)], "item_id long, text string")
     assert decontam.contamination(odd(spark), b).count() == 0
