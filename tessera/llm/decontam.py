@@ -14,8 +14,7 @@ from tessera.llm.common import Scratch
 BLOCKS, FLIPS = 10, 1
 #: Fingerprints that differ in at most this many bits share a block up to FLIPS bits: one of BLOCKS blocks has no more.
 RADIUS = BLOCKS * (FLIPS + 1) - 1
-#: Four two-byte counters in one long, and the shingles that they can count.
-LANES = 0x0001000100010001
+#: Shingles that two-byte counters, four in one long, can count; longer windows take four-byte ones, two in one long.
 LANE_MAX = 30_000
 #: Benchmark shingles up to this many are broadcast, more are joined by a shuffle.
 BROADCAST_SHINGLES = 2_000_000
@@ -52,23 +51,31 @@ def _signed(x: int) -> int:
 def simhash(shingles: Column) -> Column:
     """A bit for each of 64 that is set in over half the shingle hashes, repeats weighing as often as they occur.
 
-    Sixteen long sums hold the 64 counters, four in each: bits g, g + 16, g + 32 and g + 48 of a hash are
-    lanes of sum g. A counter is over half the window where adding 2**14 - 1 less that half reaches 2**14.
-    A window of more than ``LANE_MAX`` shingles takes every k-th of them, k being the least that fits.
+    Long sums hold the 64 counters: four in each of sixteen for windows of up to ``LANE_MAX`` shingles, two in
+    each of thirty-two for longer ones.
     """
-    step = F.ceil(F.size(shingles) / F.lit(LANE_MAX)).cast("int")
-    few = F.when(step <= 1, shingles).otherwise(F.filter(shingles, lambda s, i: i % step == 0))
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(f"l{g}") for g in range(16)])
+    return F.when(F.size(shingles) <= LANE_MAX, majorities(shingles, 4)).otherwise(majorities(shingles, 2))
+
+
+def majorities(shingles: Column, lanes: int) -> Column:
+    """The bits of :func:`simhash` by sums of so many counters each.
+
+    With n sums, bits g, g + n, g + 2n ... of a hash are lanes of sum g. A counter is over half the window
+    where adding 2**(n - 2) - 1 less that half reaches 2**(n - 2).
+    """
+    sums = 64 // lanes
+    ones = sum(1 << sums * k for k in range(lanes))
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(f"l{g}") for g in range(sums)])
 
     def add(acc: Column, h: Column) -> Column:
-        return F.struct(*[(acc[f"l{g}"] + F.shiftrightunsigned(h, g).bitwiseAND(F.lit(LANES))).alias(f"l{g}") for g in range(16)])
+        return F.struct(*[(acc[f"l{g}"] + F.shiftrightunsigned(h, g).bitwiseAND(F.lit(ones))).alias(f"l{g}") for g in range(sums)])
 
     def majority(acc: Column) -> Column:
-        over = F.lit((1 << 14) - 1) - F.floor(F.size(few) / 2).cast("bigint")
-        bits = [F.shiftleft(F.shiftrightunsigned(acc[f"l{g}"] + over * F.lit(LANES), 14).bitwiseAND(F.lit(LANES)), g) for g in range(16)]
+        over = F.lit((1 << sums - 2) - 1).cast("bigint") - F.floor(F.size(shingles) / 2).cast("bigint")
+        bits = [F.shiftleft(F.shiftrightunsigned(acc[f"l{g}"] + over * F.lit(ones), sums - 2).bitwiseAND(F.lit(ones)), g) for g in range(sums)]
         return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
-    return F.aggregate(few, zero, add, majority)
+    return F.aggregate(shingles, zero, add, majority)
 
 
 def block_bits() -> list[tuple[int, int]]:

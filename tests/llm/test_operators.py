@@ -177,6 +177,15 @@ def test_simhash_of_shingles(spark):
         assert f % (1 << 64) == want
 
 
+def test_simhash_of_long_windows(spark):
+    g = np.random.default_rng(11)
+    hs = [g.integers(-(2**63), 2**63, n, dtype=np.int64) for n in (decontam.LANE_MAX, decontam.LANE_MAX + 1, 70_001)]
+    got = [x.f for x in spark.createDataFrame([(k, h.tolist()) for k, h in enumerate(hs)], "k int, s array<bigint>").select("k", decontam.simhash(F.col("s")).alias("f")).orderBy("k").collect()]
+    for h, f in zip(hs, got):
+        want = sum(1 << b for b in range(64) if 2 * int((h.view(np.uint64) >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+        assert f % (1 << 64) == want
+
+
 def test_block_keys_guarantee(spark):
     pairs = []
     for k in range(200):
