@@ -95,6 +95,17 @@ def test_passages_planted(spark):
     assert cut[13] == prose(40, 6) + "\n"
 
 
+def test_whole_passages_are_removed(spark):
+    rows, span = [], {}
+    for k, n in enumerate((49, 50, 60, 80, 120, 200)):
+        hidden, before = prose(n, f"whole{k}") + " é", prose(35 + 7 * k, f"left{k}") + " "
+        rows += [(k, prose(60 + k, f"a{k}") + " " + hidden + " " + prose(50, f"b{k}")), (10 + k, before + hidden + " " + prose(30 + k, f"c{k}"))]
+        span[10 + k] = len(before), len(before) + len(hidden)
+    got = {x.doc_id: x for x in passages.repeated_passages(docs(spark, rows)).collect()}
+    assert {d: [tuple(s) for s in got[d].removed] for d in span} == {d: [s] for d, s in span.items()}
+    assert all(got[d].documents == [d - 10] and got[d - 10].n_removed == 0 for d in span)
+
+
 def test_every_place_is_found():
     hidden = prose(49, "x")
     where = lambda t: {u[0] for u in passages.units(t)[0]}
