@@ -80,7 +80,8 @@ def mentions(units: DataFrame, files: DataFrame) -> DataFrame:
 def containments(docs: DataFrame, probes: DataFrame) -> DataFrame:
     """``doc_id, item_id`` where a document's text holds a probe's text, letter by letter.
 
-    Probes are found by their rarest long word and compared whole afterwards.
+    Probes are found by their longest inner word and compared whole afterwards; those that have none, being of
+    one word or two, are held against every document.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+", -1), lambda w: w != ""))
     # the first and last words of a probe may be parts of words in a text; those within are whole
@@ -90,5 +91,5 @@ def containments(docs: DataFrame, probes: DataFrame) -> DataFrame:
     d = docs.select("doc_id", "text", F.explode_outer(words(F.col("text"))).alias("word"))
     keyed = d.join(p.filter("word IS NOT NULL"), "word").filter(F.col("text").contains(F.col("probe"))).select("doc_id", "item_id")
     short = p.filter("word IS NULL AND probe <> ''")
-    rest = docs.select("doc_id", "text").join(F.broadcast(short.limit(1000)), F.col("text").contains(F.col("probe"))).select("doc_id", "item_id")
+    rest = docs.select("doc_id", "text").join(short, F.col("text").contains(F.col("probe"))).select("doc_id", "item_id")
     return keyed.distinct().unionByName(rest.distinct()) if short.take(1) else keyed.distinct()

@@ -367,3 +367,12 @@ def test_streams_equal_batches(spark, tmp_path):
     w = events.run_to(events.tumbling(stream, "1 hour", "0 seconds"), str(tmp_path / "out"), str(tmp_path / "cp"))
     w.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_short_probes_are_all_found(spark):
+    from tessera.operators.links import containments
+
+    docs = spark.createDataFrame([(1, " ".join(f"x{k:04}y" for k in range(1500))), (2, "none")], "doc_id long, text string")
+    probes = spark.createDataFrame([(k, f"{k:04}y") for k in range(1500)] + [(9000 + k, f"{k:04}y x{k + 1:04}") for k in range(20)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in containments(docs, probes).collect()}
+    assert got == {(1, k) for k in [*range(1500), *range(9000, 9020)]}
