@@ -233,9 +233,8 @@ def graph_edges_hierarchy(spark, sf_dir):
     return pair.groupBy("doc_id").agg(F.count_if(F.col("type") == "parent").alias("n_parent"), F.count_if(F.col("b") == F.col("a") + 1).alias("n_pairs"))
 
 
-def labelled(spark, sf_dir):
-    """Documents with planted floats: every seventh paragraph becomes a table with a label in a caption; its neighbours ask and mention."""
-    e = elements(spark, sf_dir).filter("pos < 28")
+def labelled(e):
+    """Elements with planted floats: every seventh paragraph becomes a table with a label in a caption; its neighbours ask and mention."""
     k = F.floor(F.col("pos") / 7) + 1
     m = F.col("pos") % 7
     text = F.when(m == 3, F.concat(F.lit("Table "), (k + 10).cast("string"), F.lit(" holds it"))).when(m == 4, F.concat(F.lit("See Table "), (k + 10).cast("string"), F.lit(" and table 1."))).when(m == 5, F.lit("What follows from it?")).otherwise(F.col("text"))
@@ -254,7 +253,7 @@ m AS (SELECT doc_id, pos, CAST(unnest(regexp_extract_all(text, '(?i)\\b(?:Table|
 r AS (SELECT DISTINCT m.doc_id, m.pos AS src, coalesce(lbl.pos, t.pos) AS dst FROM m LEFT JOIN lbl ON lbl.doc_id = m.doc_id AND lbl.num = m.num LEFT JOIN t ON t.doc_id = m.doc_id AND t.nth = m.num)
 SELECT doc_id, CAST(src AS INT) AS src, CAST(dst AS INT) AS dst FROM r WHERE dst IS NOT NULL""")
 def graph_references(spark, sf_dir):
-    e = labelled(spark, sf_dir)
+    e = labelled(elements(spark, sf_dir).filter("pos < 28"))
     from tessera.operators.graph import declared_captions
 
     at = lambda c: F.regexp_extract(c, r"(\d+)", 1).cast("int")
@@ -265,15 +264,15 @@ def graph_references(spark, sf_dir):
 SELECT doc_id, pos, 'explains' AS type FROM n WHERE kind = 'table' AND bk IN ('paragraph', 'list_item') AND length(bt) > 20
 UNION ALL SELECT doc_id, pos, 'answered_by' FROM n WHERE (trim(text) LIKE '%?') AND ak = 'paragraph'""")
 def graph_neighbours(spark, sf_dir):
-    e = labelled(spark, sf_dir)
+    e = labelled(elements(spark, sf_dir).filter("pos < 28"))
     at = lambda c: F.regexp_extract(c, r"(\d+)", 1).cast("int").alias("pos")
     return explains(e).select("doc_id", at("float"), F.lit("explains").alias("type")).unionByName(answers(e).select("doc_id", at("asks"), F.lit("answered_by").alias("type")))
 
 
 @query()
 def graph_edges_planted(spark, sf_dir):
-    """All edge types of the planted documents with overwriting resolved; tested on a small fixture."""
-    return build_edges(labelled(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n_edges"), F.round(F.sum("importance"), 4).alias("importance"))
+    """All edge types of the planted documents, which are whole, with overwriting resolved; tested on a small fixture."""
+    return build_edges(labelled(elements(spark, sf_dir))).groupBy("type").agg(F.count("*").alias("n_edges"), F.round(F.sum("importance"), 4).alias("importance"))
 
 
 @query(f"""WITH {GROUPED_SQL}, s AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above,

@@ -376,3 +376,12 @@ def test_short_probes_are_all_found(spark):
     probes = spark.createDataFrame([(k, f"{k:04}y") for k in range(1500)] + [(9000 + k, f"{k:04}y x{k + 1:04}") for k in range(20)], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in containments(docs, probes).collect()}
     assert got == {(1, k) for k in [*range(1500), *range(9000, 9020)]}
+
+
+def test_planted_edges_of_whole_documents(spark, tmp_path):
+    from tessera.plans import prose
+
+    text = "\n".join(f"Paragraph {k} has a few words of its own and no more." for k in range(60))
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    n = {x.type: x.n_edges for x in prose.graph_edges_planted(spark, str(tmp_path)).collect()}
+    assert n["answered_by"] == 8, n
