@@ -9,8 +9,9 @@ import numpy as np
 
 #: Fixed value: the pre-token pattern that a byte-level pre-tokenizer with ``use_regex`` stands for.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens whose piece counts one task remembers at a time.
-MEMO = 500_000
+#: Runs of white space from this length on go to the tokenizers library: the faster one's regex gives up
+#: at a million characters.
+LONG_BLANK = 100_000
 
 
 def public_path(name: str) -> str:
@@ -29,10 +30,12 @@ def _byte_of_char() -> dict[str, int]:
 class ByteLevelBPE:
     """A byte-level BPE .json whose ids are merge ranks: the same ids as the tokenizers library, several times faster."""
 
-    def __init__(self, spec: dict) -> None:
+    def __init__(self, spec: dict, path: str) -> None:
         import regex
         import tiktoken
 
+        self.library = Library(path)
+        self.long_blank = regex.compile(rf"\s{{{LONG_BLANK}}}")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         byte = _byte_of_char()
         ranks = {bytes(byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in self.special}
@@ -51,9 +54,14 @@ class ByteLevelBPE:
         return all(vocab.get(w) == 256 + i for i, w in enumerate(joined))
 
     def ids(self, text: str) -> np.ndarray:
+        if len(text) >= LONG_BLANK and self.long_blank.search(text):
+            return self.library.ids(text)
         return self.coder.encode_to_numpy(text, allowed_special="all")
 
     def count_piece(self, piece: str) -> int:
+        """Pieces of one pre-token."""
+        if len(piece) >= LONG_BLANK:
+            return self.library.count_piece(piece)
         return len(self.coder.encode_ordinary(piece))
 
     def pretokens(self, text: str) -> tuple[list[str], int]:
@@ -80,9 +88,6 @@ class Library:
     def count_piece(self, piece: str) -> int:
         return len(self.tok.encode(piece, add_special_tokens=False).ids)
 
-    def pretokens(self, text: str) -> tuple[list[str], int]:
-        return [text], 0
-
 
 class Pieces:
     """A sentencepiece .model."""
@@ -98,9 +103,6 @@ class Pieces:
     def count_piece(self, piece: str) -> int:
         return len(self.sp.encode([piece], num_threads=1)[0])
 
-    def pretokens(self, text: str) -> tuple[list[str], int]:
-        return [text], 0
-
 
 @lru_cache(maxsize=4)
 def load(path: str):
@@ -109,18 +111,4 @@ def load(path: str):
         return Pieces(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    return ByteLevelBPE(spec) if ByteLevelBPE.fits(spec) else Library(path)
-
-
-class PieceCounts(dict):
-    """Pieces of each distinct pre-token, counted once; forgotten beyond ``MEMO`` entries."""
-
-    def __init__(self, tok) -> None:
-        super().__init__()
-        self.tok = tok
-
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        n = self[piece] = self.tok.count_piece(piece)
-        return n
+    return ByteLevelBPE(spec, path) if ByteLevelBPE.fits(spec) else Library(path)
