@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from array import array
+from heapq import heapify, heappop, heappush
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tessera.llm import tokens
-from tessera.llm.common import small_batches, texts
+from tessera.llm.common import parts, texts
 
 #: Bins of one packing task: sequence ids are task << 40 | bin.
 TASK_SHIFT = 40
@@ -24,40 +27,67 @@ class VectorBestFit:
     rule ``residual`` selects the one whose residual vector, each part as a share of its capacity and
     weighted, is shortest afterwards; ``dot`` the one whose residual has the largest weighted dot product
     with the item. Ties go to the oldest bin. Bins that can't take even the smallest item left are closed.
+
+    Bins with the same residual vector are interchangeable but for their age, so they are kept together:
+    an item's length is scored once against the distinct residuals, then each item takes a few heap steps.
     """
 
     def __init__(self, capacity=(1024, 1024, 1024 * 1024), weights=(1.0, 1e-3, 1e-3), rule: str = "residual") -> None:
-        self.capacity, self.weights, self.rule = np.asarray(capacity, float), np.asarray(weights, float), rule
+        self.capacity, self.weights, self.rule = tuple(map(int, capacity)), tuple(weights), rule
         if rule not in ("residual", "dot"):
             raise ValueError(f"no such rule: {rule}")
 
+    def cost(self, room: tuple, ask: tuple) -> float:
+        """What the rule makes smallest."""
+        total = 0.0
+        for r, a, c, w in zip(room, ask, self.capacity, self.weights):
+            total += w * ((r - a) / c) ** 2 if self.rule == "residual" else -w * (r / c) * (a / c)
+        return total
+
     def pack(self, lengths: np.ndarray) -> np.ndarray:
         """The bin of each length; longest first, equal ones in the given order."""
-        order = np.argsort(-lengths, kind="stable")
+        lengths = np.asarray(lengths, np.int64)
         out = np.empty(len(lengths), np.int64)
-        room = np.empty((max(16, len(lengths)), 3))
-        name = np.empty(len(room), np.int64)
-        n_open = made = 0
-        least = int(lengths.min()) if len(lengths) else 0
-        for k, i in enumerate(order):
-            n = int(lengths[i])
-            ask = np.array((n, 1.0, float(n) * n))
-            if k % 512 == 0 and n_open:
-                live = (room[:n_open, 0] >= least) & (room[:n_open, 1] >= 1) & (room[:n_open, 2] >= least * least)
-                kept = int(live.sum())
-                room[:kept], name[:kept], n_open = room[:n_open][live], name[:n_open][live], kept
-            fits = np.flatnonzero((room[:n_open] >= ask).all(axis=1))
-            if len(fits):
-                if self.rule == "residual":
-                    score = -((((room[fits] - ask) / self.capacity) ** 2) @ self.weights)
+        if not len(lengths):
+            return out
+        least = int(lengths.min())
+        if any(a > c for a, c in zip((int(lengths.max()), 1, int(lengths.max()) ** 2), self.capacity)):
+            raise ValueError("an item is larger than an empty bin")
+        order = np.argsort(-lengths, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(lengths[order]) != 0])
+        bins: dict[tuple, list[int]] = {}
+        made = 0
+        for a, b in zip(first, np.r_[first[1:], len(order)]):
+            n = int(lengths[order[a]])
+            ask = (n, 1, n * n)
+            fits = lambda room: room[0] >= n and room[1] >= 1 and room[2] >= n * n  # noqa: B023, E731
+            best = [(self.cost(room, ask), names[0], room) for room, names in bins.items() if fits(room)]
+            heapify(best)
+            for i in order[a:b].tolist():
+                while best:  # entries whose bin has been taken since are renewed
+                    cost, name, room = best[0]
+                    names = bins.get(room)
+                    if names and names[0] == name:
+                        break
+                    heappop(best)
+                    if names:
+                        heappush(best, (cost, names[0], room))
+                if best:
+                    cost, name, room = heappop(best)
+                    heappop(names)
+                    if names:
+                        heappush(best, (cost, names[0], room))
+                    else:
+                        del bins[room]
                 else:
-                    score = (room[fits] / self.capacity) @ (self.weights * ask / self.capacity)
-                b = fits[int(score.argmax())]
-            else:
-                b, n_open = n_open, n_open + 1
-                room[b], name[b], made = self.capacity, made, made + 1
-            room[b] -= ask
-            out[i] = name[b]
+                    name, room, made = made, self.capacity, made + 1
+                out[i] = name
+                room = (room[0] - n, room[1] - 1, room[2] - n * n)
+                if room[0] >= least and room[1] >= 1 and room[2] >= least * least:
+                    names = bins.setdefault(room, [])
+                    heappush(names, name)
+                    if fits(room) and names[0] == name:
+                        heappush(best, (self.cost(room, ask), name, room))
         return out
 
 
@@ -67,44 +97,65 @@ def cuts(n: int, limit: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, limit) for s in range(first, n, limit)]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 2, max_docs: int = 1024, max_attention: int | None = None, rule: str = "residual") -> DataFrame:
+def pack_documents(
+    docs: DataFrame,
+    tokenizer: str,
+    limit: int = 1024,
+    end_id: int = 2,
+    max_docs: int | None = None,
+    max_attention: int | None = None,
+    rule: str = "residual",
+    weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3),
+) -> DataFrame:
     """Pieces of all documents and their places in sequences of at most ``limit`` tokens.
 
     A document is its ids and ``end_id``; only longer ones are cut. Capacities per sequence: ``limit``
-    tokens, ``max_docs`` pieces, ``max_attention`` (the sum of squared piece lengths; by default that of
-    one full piece, which the token capacity implies). A piece is asked for alone when it fills a sequence.
+    tokens, ``max_docs`` pieces (by default as many as tokens), ``max_attention`` (the sum of squared piece
+    lengths, by default that of one full piece). The defaults follow from the token capacity, for the
+    fewest sequences; smaller ones bind. Where ``max_attention`` doesn't hold a full piece, documents are
+    cut into the longest pieces that it does hold.
 
-    Each task packs the pieces of its own split, so no row is shuffled and a task holds 30 bytes a piece
+    Each task packs the pieces of its own split, so no row is shuffled and a task holds 41 bytes a piece
     of it; the bins left half empty at the end are a few per split of thousands of documents. A task run
     again reads the same split in the same order and gives the same sequences.
 
-    A null or empty text is the end id alone; repeated rows are packed each; other columns are ignored;
-    an empty table gives an empty result.
+    A null or empty text is the end id alone; repeated rows are packed each; a null ``doc_id`` stays null;
+    other columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
-    capacity = (limit, max_docs, max_attention or limit * limit)
+    capacity = (limit, max_docs or limit, max_attention or limit * limit)
+    longest = min(limit, isqrt(capacity[2]))
 
     def pack(batches):
         tok = tokens.load(tokenizer)
-        cols: list[list] = [[], [], [], [], []]
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(tok.ids(text), end_id).astype("<u4")
-                for k, (start, length) in enumerate(cuts(len(ids), limit)):
-                    for c, v in zip(cols, (doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes()))):
-                        c.append(v)
-        if not cols[0]:
+        doc, no_doc, number, start, length, crc = array("q"), bytearray(), array("i"), array("q"), array("q"), array("q")
+        for batch in parts(batches):
+            for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = np.append(tok.ids(text.as_py()), end_id).astype("<u4")
+                for k, (at, n) in enumerate(cuts(len(ids), longest)):
+                    doc.append(d or 0)
+                    no_doc.append(d is None)
+                    number.append(k)
+                    start.append(at)
+                    length.append(n)
+                    crc.append(zlib.crc32(ids[at : at + n].tobytes()))
+        if not doc:
             return
-        length = np.asarray(cols[3], np.int64)
-        bins = VectorBestFit(capacity, rule=rule).pack(length)
+        long = np.frombuffer(length, np.int64)
+        bins = VectorBestFit(capacity, weights, rule).pack(long)
         order = np.argsort(bins, kind="stable")
-        ends = np.cumsum(length[order])
-        first = np.r_[True, bins[order][1:] != bins[order][:-1]]
-        base = (ends - length[order])[first]
-        offset = ends - length[order] - np.repeat(base, np.diff(np.r_[np.flatnonzero(first), len(order)]))
-        sequence = (np.int64(TaskContext.get().partitionId()) << TASK_SHIFT) + bins[order]
-        pick = lambda c, kind: pa.array(np.asarray(c, object)[order].tolist() if None in c else np.asarray(c)[order], kind)
-        table = pa.table([pick(cols[0], pa.int64()), pick(cols[1], pa.int32()), pick(cols[2], pa.int64()), pick(cols[3], pa.int64()), pick(cols[4], pa.int64()), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-        yield from table.to_batches(max_chunksize=65536)
+        bins = bins[order]
+        ends = np.cumsum(long[order])
+        first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+        before = np.repeat((ends - long[order])[first], np.diff(np.r_[first, len(bins)]))
+        columns = {
+            "doc_id": pa.array(np.frombuffer(doc, np.int64)[order], mask=np.frombuffer(no_doc, bool)[order]),
+            "piece": pa.array(np.frombuffer(number, np.int32)[order]),
+            "start": pa.array(np.frombuffer(start, np.int64)[order]),
+            "length": pa.array(long[order]),
+            "ids_crc32": pa.array(np.frombuffer(crc, np.int64)[order]),
+            "sequence_id": pa.array((np.int64(TaskContext.get().partitionId()) << TASK_SHIFT) + bins),
+            "offset": pa.array(ends - long[order] - before),
+        }
+        yield from pa.table(columns).to_batches(max_chunksize=65536)
 
     return texts(docs).mapInArrow(pack, SCHEMA)
