@@ -7,10 +7,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, small_batches, texts
+from tessera.llm.common import Scratch, join_hot, numbered, parts, texts
 from tessera.llm.components import Forest, components
 
 #: Positional bytes of a fingerprint.
@@ -19,6 +19,8 @@ BYTES = 8
 BLOCK = 65_536
 #: Buckets up to this size are compared by shifts over a whole batch of buckets.
 SMALL = 32
+#: Fingerprints of a posting that one task compares; larger ones are parted into blocks.
+POSTING = 4096
 
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
@@ -40,11 +42,11 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     """``doc_id, fp`` (the fingerprint's bits as a signed long) of every whole text."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            fp = np.fromiter((fingerprint(t, words, seed) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
+        for batch in parts(batches):
+            each = (fingerprint(t.as_py(), words, seed) for t in batch.column("text"))
+            fp = np.fromiter(each, np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
@@ -73,9 +75,11 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints ``fp`` that have the components of all pairs within ``radius``.
 
     Two fingerprints that differ in r bits share at least 8 - r bytes at their places. Each key's
-    fingerprints stand side by side after one shuffle; a task tallies and verifies them as they stream past
-    and gives only links that join something, so a key with many fingerprints gives fewer links than it has
-    members. All pairs of a key are compared, by vectors of eight-byte words; no pair is a row.
+    fingerprints stand side by side after one shuffle and are counted there; keys with one alone go no
+    further. A task tallies and verifies the others as they stream past and gives only links that join
+    something, so a key with many fingerprints gives fewer links than it has members. Keys of more than
+    POSTING fingerprints are parted into blocks, every two of which meet in a group of their own. All pairs
+    of a key are compared, by vectors of eight-byte words; no pair is a row.
     """
     least = BYTES - radius
     if least < 1:
@@ -85,6 +89,8 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
         forest = Forest()
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keys = np.concatenate([keys, batch.column("key").to_numpy()])
             fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
             whole = int(np.searchsorted(keys, keys[-1], side="left")) if len(keys) else 0
@@ -95,7 +101,16 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         yield from within(keys, fps, radius, least, forest)
 
     spread = distinct.select("fp", F.explode(postings(F.col("fp"), least)).alias("key"))
-    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    sized = spread.withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1")
+    small = sized.filter(F.col("size") <= POSTING).select("key", "fp").sortWithinPartitions("key")
+    large = sized.filter(F.col("size") > POSTING)
+    blocks = F.ceil(2 * F.col("size") / POSTING).cast("long")
+    large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    large = large.select(group.alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    schema = "a long, b long"
+    return small.mapInArrow(run, schema).union(large.mapInArrow(run, schema))
 
 
 def within(keys: np.ndarray, fps: np.ndarray, radius: int, least: int, forest: Forest):
@@ -154,13 +169,17 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, seed: i
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.cut(fingerprints(docs, words, seed), "fingerprints")
-    classes = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    classes = scratch.cut(classes, "classes")
     found = scratch.cut(links(classes.select("fp"), radius), "links")
-    a, b = classes.toDF("a", "x"), classes.toDF("b", "y")
-    edges = found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    a = classes.select(F.col("fp").alias("a"), F.col("first").alias("x"))
+    b = classes.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    edges = found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = edges.filter("a IS NOT NULL AND b IS NOT NULL")
     joined = components(edges, scratch).withColumnRenamed("id", "first")
-    named = classes.join(joined, "first", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(joined, "first", "left")
+    named = scratch.cut(named.select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "named")
+    return join_hot(rows, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -168,6 +187,8 @@ def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42
 
     Rows that repeat a ``doc_id`` are one document and stay together; rows without one stay.
     """
-    keep = simhash_components(docs, words, radius, seed).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["__kept"], "left_semi")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    found = simhash_components(docs, words, radius, seed).filter("doc_id = component_id")
+    keep = found.select(F.col("doc_id").alias("__doc")).distinct()
+    inner, names = numbered(docs)
+    kept = inner.join(keep, "__doc", "left_semi").unionByName(inner.filter("__doc IS NULL"))
+    return kept.select(*names).toDF(*docs.columns)
