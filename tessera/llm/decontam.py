@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, numbered, versions
 
 #: Blocks of the multi-index, and the differing bits tried in each block.
 BLOCKS, FLIPS = 10, 1
@@ -16,8 +16,9 @@ BLOCKS, FLIPS = 10, 1
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: Shingles that two-byte counters, four in one long, can count; longer windows take four-byte ones, two in one long.
 LANE_MAX = 30_000
-#: Benchmark shingles up to this many are broadcast, more are joined by a shuffle.
-BROADCAST_SHINGLES = 2_000_000
+#: Rows of the benchmark's shingles, and of its filed fingerprints, that are broadcast (up to some 50 bytes
+#: each); larger benchmarks are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -121,6 +122,10 @@ def starts(at: Column, size: Column, long: Column, least: float) -> Column:
     return F.concat(whole, ranges(short, F.greatest(size - long + 1, F.lit(0)), size - short))
 
 
+KEY = ["doc_id", "version"]
+FOUND = "doc_id long, item_id long, start_word int, n_words int, similarity double, n_windows long"
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """Benchmark items found in documents: a row for each pair of document and item.
 
@@ -140,9 +145,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least:
     to theirs. The exact similarity decides on each candidate.
 
     Only the windows and the items' shingles are shuffled or, while they are few, broadcast. A null or empty
-    text or item has no words and matches nothing; items of fewer than ``words`` words are one shingle.
-    Repeated rows give their pairs once; rows without an id are left out; other columns are ignored. Empty
-    tables give an empty result.
+    text or item has no words and matches nothing. An item of fewer than ``words`` words is one shingle, as is
+    a document: it is found in documents of the same words, not inside longer ones. Rows that repeat a
+    ``doc_id`` are searched each, and give a pair once with its best window; rows without an id are left out;
+    other columns are ignored. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
@@ -152,31 +158,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least:
 
     # the lengths of the items that each shingle stands in
     seeds = scratch.cut(items.select("n_words", F.explode("s").alias("h")).groupBy("h").agg(F.collect_set("n_words").alias("uses")), "seeds")
-    few = seeds.count() <= BROADCAST_SHINGLES
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    shingled = with_shingles(rows, words).select("doc_id", F.size("s").alias("size"), "s")
-    places = shingled.select("doc_id", "size", F.posexplode_outer("s").alias("at", "h"))  # an inner one would have its array filtered first, and made twice
-    hits = places.join(F.broadcast(seeds) if few else seeds, "h").select("doc_id", "size", F.explode("uses").alias("n_words"), "at")
-    held = hits.groupBy("doc_id", "size", "n_words").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    maybe = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    id_of, text_of = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+    rows = versions(docs.select(id_of, text_of).filter("doc_id IS NOT NULL"))
+    shingled = with_shingles(rows, words).select(*KEY, F.size("s").alias("size"), "s")
+    # an inner explode would have its array filtered first, and made twice
+    places = shingled.select(*KEY, "size", F.posexplode_outer("s").alias("at", "h"))
+    hits = places.join(maybe(seeds), "h").select(*KEY, "size", F.explode("uses").alias("n_words"), "at")
+    held = hits.groupBy(*KEY, "size", "n_words").agg(F.sort_array(F.collect_set("at")).alias("at"))
     long = F.greatest(F.col("n_words") - words + 1, F.lit(1))
-    windows = scratch.cut(held.select("doc_id", "n_words", F.explode(starts(F.col("at"), F.col("size"), long, least)).alias("r")).select("doc_id", "n_words", "r.lo", "r.hi"), "windows")
+    ranges = F.explode(starts(F.col("at"), F.col("size"), long, least)).alias("r")
+    windows = held.select(*KEY, "n_words", ranges).select(*KEY, "n_words", "r.lo", "r.hi")
+    windows = scratch.cut(windows, "windows")
     if not windows.take(1):
-        return spark.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, similarity double, n_windows long")
+        return spark.createDataFrame([], FOUND)
 
     # windows are cut from the documents that have any; what the join moves is text, from which shingles are made again
-    laid = windows.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "n_words")).alias("laid"))
-    hit_docs = with_shingles(rows.join(laid.hint("merge"), "doc_id"), words).select("doc_id", "s", F.explode("laid").alias("l")).select("doc_id", "s", "l.lo", "l.hi", "l.n_words").filter(F.col("lo") < F.size("s"))
-    ranges = hit_docs.select("doc_id", "lo", "hi", "n_words", F.slice("s", F.col("lo") + 1, F.col("hi") - F.col("lo") + long).alias("s"))
-    each = ranges.select("doc_id", "lo", "n_words", "s", F.explode(F.sequence("lo", F.least(F.col("hi"), F.col("lo") + F.size("s") - 1))).alias("start"))
-    cut = each.select("doc_id", "start", "n_words", F.slice("s", F.col("start") - F.col("lo") + 1, long).alias("s")).dropDuplicates(["doc_id", "start", "n_words"])
+    laid = windows.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "n_words")).alias("laid"))
+    hit_docs = with_shingles(rows.join(laid.hint("merge"), KEY), words).select(*KEY, "s", F.explode("laid").alias("l"))
+    hit_docs = hit_docs.select(*KEY, "s", "l.lo", "l.hi", "l.n_words").filter(F.col("lo") < F.size("s"))
+    held = F.slice("s", F.col("lo") + 1, F.col("hi") - F.col("lo") + long).alias("s")
+    ranges = hit_docs.select(*KEY, "lo", "hi", "n_words", held)
+    last = F.least(F.col("hi"), F.col("lo") + F.size("s") - 1)
+    each = ranges.select(*KEY, "lo", "n_words", "s", F.explode(F.sequence("lo", last)).alias("start"))
+    one = F.slice("s", F.col("start") - F.col("lo") + 1, long).alias("s")
+    cut = each.select(*KEY, "start", "n_words", one).dropDuplicates([*KEY, "start", "n_words"])
     # written twice, as plans that fold slicing, hashing and filing into each other compile to methods of gigabytes
     cut = scratch.cut(cut, "cut")
     cut = scratch.cut(cut.select("doc_id", "start", "n_words", "s", simhash(F.col("s")).alias("fp")), "cut-fingerprints")
 
-    filed = items.select("n_words", F.explode(block_keys(F.col("fp"), FLIPS)).alias("key"), F.col("fp").alias("item_fp"), "item_id", F.col("s").alias("item_s"))
+    filed = items.select("n_words", F.explode(block_keys(F.col("fp"), FLIPS)).alias("key"), F.col("fp").alias("item_fp"), "item_id")
+    filed = scratch.cut(filed, "filed")
     asked = cut.select("doc_id", "start", "n_words", "s", "fp", F.explode(block_keys(F.col("fp"), 0)).alias("key"))
-    near = asked.join(F.broadcast(filed) if few else filed, ["n_words", "key"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.filter(first_block(F.col("fp"), F.col("item_fp")) == F.shiftright("key", 8))
+    near = asked.join(maybe(filed), ["n_words", "key"])
+    near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    near = near.filter(first_block(F.col("fp"), F.col("item_fp")) == F.shiftright("key", 8)).drop("n_words", "fp", "key")
+    texts = items.select("item_id", "n_words", F.col("fp").alias("item_fp"), F.col("s").alias("item_s"))
+    near = near.join(texts, ["item_id", "item_fp"])  # each row of an item that repeats has its own
     exact = near.withColumn("similarity", bag_similarity(F.col("s"), F.col("item_s"))).filter(F.col("similarity") >= least)
     whole = (F.size("s") == long) | (F.col("start") == 0)
     each = exact.groupBy("doc_id", "item_id", "start", "n_words").agg(F.max("similarity").alias("similarity"), F.max(whole).alias("whole"))
@@ -185,10 +203,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least:
 
 
 def bag_similarity(a: Column, b: Column) -> Column:
-    """Sum of the smaller over sum of the larger weights of two bags of hashes."""
-    count = lambda bag, x: F.size(F.filter(bag, lambda y: y == x))
+    """Sum of the smaller over sum of the larger weights of two bags of hashes.
+
+    Where either bag has no repeats the sum of the smaller weights is the size of the intersection. Else
+    both are sorted into one list, and a fold over it closes the counts of one hash as the next one comes.
+    """
+    side = lambda bag, n: F.transform(bag, lambda x: F.struct(x.alias("h"), F.lit(n).alias("side")))
+    both = F.sort_array(F.concat(side(a, 0), side(b, 1)))
+    count = lambda n: F.lit(n).cast("int")
+    start = F.struct(F.lit(0).cast("bigint").alias("h"), count(0).alias("x"), count(0).alias("y"), count(0).alias("common"))
+
+    def step(acc: Column, e: Column) -> Column:
+        same = acc["h"] == e["h"]
+        x = F.when(same, acc["x"]).otherwise(0) + F.when(e["side"] == 0, 1).otherwise(0)
+        y = F.when(same, acc["y"]).otherwise(0) + F.when(e["side"] == 1, 1).otherwise(0)
+        closed = F.when(same, 0).otherwise(F.least(acc["x"], acc["y"]))
+        return F.struct(e["h"].alias("h"), x.alias("x"), y.alias("y"), (acc["common"] + closed).alias("common"))
+
+    folded = F.aggregate(both, start, step, lambda acc: acc["common"] + F.least(acc["x"], acc["y"]))
     once = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
-    common = F.when(once, F.size(F.array_intersect(a, b))).otherwise(F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x))))
+    common = F.when(once, F.size(F.array_intersect(a, b))).otherwise(folded)
     return common / (F.size(a) + F.size(b) - common)
 
 
@@ -197,5 +231,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, least:
 
     Rows without a ``doc_id`` stay.
     """
-    leaks = contamination(docs, benchmark, words, least).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long") == leaks["__leak"], "left_anti")
+    leaks = contamination(docs, benchmark, words, least).select(F.col("doc_id").alias("__doc")).distinct()
+    inner, names = numbered(docs)
+    return inner.join(leaks, "__doc", "left_anti").select(*names).toDF(*docs.columns)
