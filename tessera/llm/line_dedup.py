@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, join_hot
+from tessera.llm.common import Scratch, join_hot, numbered, versions
 
 #: Fixed value: the white space that is stripped from a line, U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
+ADDED = ("n_lines", "n_dropped")
 
 
 def line_key(line: Column) -> Column:
@@ -30,7 +31,7 @@ class LineRuns:
     A new batch's distinct hashes are merged against every run: what no run has becomes a run of its own at
     level 0. ``fanout`` runs of a level are compacted into one of the next level, so n batches leave about
     log(n) runs and a hash is rewritten log(n) times. Runs and batches share one bucketing, so merging
-    shuffles the batch alone.
+    shuffles the batch alone. The tables are in the session's current database until :meth:`close`.
     """
 
     def __init__(self, spark: SparkSession, scratch: Scratch, fanout: int = 2) -> None:
@@ -92,39 +93,58 @@ def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int
     are held against the runs of the batches before it, and within the batch against their own smallest
     document. All documents are read whatever the number of batches, which only bounds the size of one.
 
-    A null or empty text is one empty line and comes back empty. Rows that repeat a ``doc_id`` are copies of
-    one document. Rows without a ``doc_id`` keep all lines and own none. Other columns pass through,
-    columns called ``n_lines`` or ``n_dropped`` are replaced. An empty table gives an empty result.
+    A null or empty text is one empty line and comes back empty. Rows that repeat a ``doc_id`` are parts of
+    one document: what only they share stays in each of them. Rows without a ``doc_id`` keep all lines and
+    own none. Other columns pass through whatever their names, but for columns called ``n_lines`` or
+    ``n_dropped``, which are replaced. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    bounds = rows.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
-    batch = sum((F.when(F.col("doc_id") > b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
-    split = rows.select("doc_id", batch.alias("batch"), F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
-    keyed = split.select("doc_id", "batch", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= least)
-    lines = scratch.cut(keyed.select("batch", "doc_id", "pos", *hashes(F.col("key"))), "lines", ("batch",))
-
-    store = LineRuns(spark, scratch, fanout)
-    dropped = None
-    for k in range(len(set(bounds)) + 1):
-        part = lines.filter(F.col("batch") == k).drop("batch")
-        keys = part.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-        marked = scratch.cut(store.seen(keys), f"keys-{k}")
-        if k < len(set(bounds)):
-            store.add(marked.filter("NOT seen"))
-        repeats = marked.filter("seen OR first < last").select(*KEY, F.when(F.col("seen"), None).otherwise(F.col("first")).alias("owner"), "n")
-        gone = join_hot(part, repeats, KEY, "n").filter("owner IS NULL OR doc_id <> owner").select("doc_id", "pos")
-        gone = scratch.cut(gone, f"gone-{k}")
-        scratch.drop(f"keys-{k}")
-        dropped = gone if dropped is None else dropped.union(gone)
-    store.close()
-    scratch.drop("lines")
-
-    places = dropped.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc_id", "__doc")
-    wide = docs.drop("n_lines", "n_dropped").join(places, docs["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
-    wide = wide.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
+    scratch = Scratch(docs.sparkSession, "lines")
+    dropped = _dropped(docs, least, batches, fanout, scratch)
+    places = dropped.groupBy("__doc", "version").agg(F.collect_set("pos").alias("__gone"))
+
+    inner, names = numbered(docs)
+    body = names[docs.columns.index("text")]
+    wide = versions(inner, "__doc", body).join(places, ["__doc", "version"], "left")
+    lines = F.split(F.coalesce(body, F.lit("")), "\n", -1)
+    none = F.array().cast("array<int>")
+    wide = wide.withColumn("__lines", lines).withColumn("__gone", F.coalesce("__gone", none))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    kept = F.when(F.size("__gone") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
-    columns = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return wide.select(*columns, F.size("__lines").cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_dropped"))
+    cut = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
+    text = F.when(F.size("__gone") == 0, F.coalesce(body, F.lit(""))).otherwise(cut)
+    columns = [(text if c == "text" else F.col(k)).alias(c) for k, c in zip(names, docs.columns) if c not in ADDED]
+    counts = [F.size(c).cast("long").alias(name) for c, name in zip(("__lines", "__gone"), ADDED)]
+    return wide.select(*columns, *counts)
+
+
+def _dropped(docs: DataFrame, least: int, batches: int, fanout: int, scratch: Scratch) -> DataFrame:
+    """``__doc, version, pos`` of the lines that :func:`dedup_lines` drops."""
+    id_of, text_of = F.col("doc_id").cast("long").alias("__doc"), F.coalesce("text", F.lit("")).alias("text")
+    rows = versions(docs.select(id_of, text_of).filter("__doc IS NOT NULL"), "__doc")
+    bounds = rows.approxQuantile("__doc", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    bounds = sorted(set(bounds))
+    batch = sum((F.when(F.col("__doc") > b, 1).otherwise(0) for b in bounds), F.lit(0)).alias("batch")
+    split = rows.select("__doc", "version", batch, F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
+    keyed = split.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= least)
+    lines = keyed.select("batch", "__doc", "version", "pos", *hashes(F.col("key")))
+    lines = scratch.cut(lines, "lines", ("batch",))
+
+    store = LineRuns(docs.sparkSession, scratch, fanout)
+    dropped = None
+    try:
+        for k in range(len(bounds) + 1):
+            part = lines.filter(F.col("batch") == k).drop("batch")
+            ends = F.min("__doc").alias("first"), F.max("__doc").alias("last")
+            keys = part.groupBy(*KEY).agg(*ends, F.count("*").alias("n"))
+            marked = scratch.cut(store.seen(keys), f"keys-{k}")
+            if k < len(bounds):
+                store.add(marked.filter("NOT seen"))
+            owner = F.when(F.col("seen"), None).otherwise(F.col("first")).alias("owner")
+            repeats = marked.filter("seen OR first < last").select(*KEY, owner, "n")
+            gone = join_hot(part, repeats, KEY, "n").filter("owner IS NULL OR __doc <> owner")
+            gone = scratch.cut(gone.select("__doc", "version", "pos"), f"gone-{k}")
+            scratch.drop(f"keys-{k}")
+            dropped = gone if dropped is None else dropped.union(gone)
+    finally:
+        store.close()
+        scratch.drop("lines")
+    return dropped

@@ -41,7 +41,7 @@ def matches(text: Column, pattern: str, kind: int, value_group: int = 0, least:
     return F.when(text.rlike(pattern), F.aggregate(steps, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{kind_of}>"))
 
 
-def find_secrets(docs: DataFrame, repo: str = "source", owner: str | None = None, most_owners: int = 1, hidden: str | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, repo: str = "source", owner: str | None = None, most_owners: int = 1) -> DataFrame:
     """Spans of secrets in every whole text, and who holds the same ones.
 
     Returns a row for each row of ``docs``: ``doc_id``, ``spans`` (array of ``start, kind, end, h, n_repos,
@@ -58,7 +58,9 @@ def find_secrets(docs: DataFrame, repo: str = "source", owner: str | None = None
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(owner or repo).cast("string"), F.lit("")).alias("owner"), text.alias("text"))
+    marked = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias
+    doc = F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(doc, marked(repo)("repo"), marked(owner or repo)("owner"), text.alias("text"))
     t = F.col("text")
     parts = rows.select("doc_id", "repo", "owner", matches(t, ASSIGN, 0, 2, 6).alias("assign"), matches(t, ACCESS_LONG, 1).alias("access"), matches(t, HEX_LONG, 2).alias("hex"), matches(t, OWNED, 3).alias("owned"))
     base = F.concat("assign", "access", "hex")
