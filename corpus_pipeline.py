@@ -7,11 +7,12 @@ benchmark items go, and what is left is packed into training sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import tokens
 from tessera.llm.common import Scratch, table
 from tessera.llm.decontam import decontaminate
-from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.line_dedup import ADDED, dedup_lines
 from tessera.llm.packing import pack_documents
 from tessera.llm.simhash import one_of_each
 from tessera.llm.toxicity import reject_toxic
@@ -26,8 +27,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that one with a smaller ``doc_id`` has; ``n_chars`` follows the text."""
-    kept = dedup_lines(docs, least=10).drop("n_lines", "n_dropped")
-    return kept.selectExpr(*["CAST(length(text) AS LONG) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
+    held = docs.withColumnsRenamed({c: f"held_{c}" for c in ADDED if c in docs.columns})
+    kept = dedup_lines(held, least=10).drop(*ADDED).withColumnsRenamed({f"held_{c}": c for c in ADDED})
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

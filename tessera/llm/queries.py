@@ -15,7 +15,7 @@ from tessera.llm.secrets import find_secrets, span_list
 from tessera.llm.simhash import simhash_components
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import score, train
-from tessera.llm.vectors import near_vectors
+from tessera.llm.vectors import near_vectors, true_links
 from tessera.llm.wavelet import token_files
 
 BPE = "byte_bpe_50k.json"
@@ -31,7 +31,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+    rows = table(spark, sf_dir, "embeddings")
+    audited = F.broadcast(true_links(rows, least=0.95, queries=200))
+    return near_vectors(rows, least=0.95).join(audited, "vec_id", "left")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +99,7 @@ _KINDS = (
     ("owned", r"[A-Za-z0-9+/_=-]{20,}"),
 )
 #: Matches and the gaps between them alternate through a text, so running lengths give their places.
-_SECRETS = "WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents), raw AS (" + "\nUNION ALL ".join(
+_SECRETS = "WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS source FROM documents), raw AS (" + "\nUNION ALL ".join(
     f"SELECT doc_id, source, {k} AS kind, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(list_slice(string_split_regex(text, '{p}'), 1, len(regexp_extract_all(text, '{p}')))) AS gap, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS k FROM d" for k, (_, p) in enumerate(_KINDS)
 ) + r"""),
 placed AS (SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id, kind ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM raw WINDOW w AS (PARTITION BY doc_id, kind ORDER BY k)),

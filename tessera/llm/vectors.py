@@ -5,27 +5,25 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, join_hot
+from tessera.llm import flat_graph
+from tessera.llm.common import Scratch, join_hot, parts
 from tessera.llm.components import Forest, components
 
 #: Vectors that the centroids are fitted on, and centroids, at most.
 SAMPLE, MAX_SHARDS = 20_000, 4096
-#: Vectors of a shard on average, and above which it is parted into blocks of half as many.
-SHARD, SHARD_MAX = 512, 2048
-#: Nearest centroids that a vector goes to.
-OVERLAP = 3
-#: Edges of a vertex, pruning factor, nearest and random vertices that edges are chosen from.
-DEGREE, ALPHA, NEAR, FAR = 24, 1.2, 64, 16
-#: Beam of the greedy search, and how far below the wanted cosine a vertex is still expanded.
-BEAM, SLACK = 32, 0.07
-
-
-def unit(v: np.ndarray) -> np.ndarray:
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
-
+#: Vectors of a shard on average, before overlap; shards above SHARD_MAX are clustered again, on SPLIT_SAMPLE of theirs.
+SHARD, SHARD_MAX, SPLIT_SAMPLE = 1024, 16_384, 2048
+#: Nearest centroids that a vector goes to, and of those in a shard that is clustered again; such rounds at most.
+OVERLAP, SPLIT_OVERLAP, SPLITS = 3, 2, 4
+#: How far below the wanted cosine a vertex is still expanded, and may still lead a search into other shards.
+SLACK, BRIDGE = 0.07, 0.03
+#: Rounds in which searches go on into other shards, at most.
+ROUNDS = 8
+#: Rows of a group in which vectors of a large shard are dealt to its parts.
+DEAL = 20_000
 
 def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means with evenly spaced first centres."""
@@ -33,7 +31,8 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
         return sample
     centre = sample[np.linspace(0, len(sample) - 1, min(k, len(sample))).astype(int)]
     for _ in range(rounds):
-        nearest = np.concatenate([(part @ centre.T).argmax(axis=1) for part in np.array_split(sample, len(sample) // 4096 + 1)])
+        chunks = np.array_split(sample, len(sample) // 4096 + 1)
+        nearest = np.concatenate([(part @ centre.T).argmax(axis=1) for part in chunks])
         total = np.zeros_like(centre)
         np.add.at(total, nearest, sample)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
@@ -41,250 +40,330 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centre
 
 
-def robust_prune(x: np.ndarray, at: int, pool: np.ndarray) -> list[int]:
-    """Up to DEGREE of ``pool``: the nearest first, without those that a chosen one is ALPHA times nearer to."""
-    pool = pool[pool != at]
-    gap = np.linalg.norm(x[pool] - x[at], axis=1)
-    order = np.argsort(gap, kind="stable")
-    pool, gap = pool[order], gap[order]
-    between = np.linalg.norm(x[pool][:, None] - x[pool][None], axis=2) if len(pool) <= NEAR + FAR else None
-    chosen: list[int] = []
-    alive = np.ones(len(pool), bool)
-    for k in range(len(pool)):
-        if alive[k]:
-            chosen.append(int(pool[k]))
-            if len(chosen) == DEGREE:
-                break
-            to = between[k] if between is not None else np.linalg.norm(x[pool] - x[pool[k]], axis=1)
-            alive &= ALPHA * to > gap
-    return chosen
-
-
-def build_graph(x: np.ndarray) -> list[list[int]]:
-    """Adjacency of a shard: pruned pools of near and random vertices, then the edges back, pruned where too many."""
-    n = len(x)
-    rng = np.random.default_rng(n)
-    out: list[list[int]] = []
-    for start in range(0, n, 512):
-        near = x[start : start + 512] @ x.T
-        k = min(NEAR + 1, n)
-        tops = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        for row, top in enumerate(tops):
-            out.append(robust_prune(x, start + row, np.unique(np.r_[top, rng.integers(0, n, FAR)])))
-    back: list[list[int]] = [[] for _ in range(n)]
-    for a, bs in enumerate(out):
-        for b in bs:
-            back[b].append(a)
-    for a in range(n):
-        both = list(dict.fromkeys(out[a] + back[a]))
-        out[a] = both if len(both) <= 2 * DEGREE else robust_prune(x, a, np.array(both))
-    return out
-
-
-def range_search(x: np.ndarray, edges: np.ndarray, least: float) -> np.ndarray:
-    """``found[q, v]``: a greedy search from the medoid for every vertex q, expanded over all that lies in range.
-
-    ``edges`` holds neighbours in rows, filled up with -1. All searches advance together: each expands its best
-    unexpanded vertex while one is left in its beam. Then everything within ``least - SLACK`` of q is
-    expanded until nothing new is in range.
-    """
-    n = len(x)
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    seen, expanded = np.zeros((n, n), bool), np.zeros((n, n), bool)
-    found = np.zeros((n, n), bool)
-    q = np.arange(n)
-    beam = np.full((n, BEAM), -1)
-    score = np.full((n, BEAM), -np.inf)
-    beam[:, 0], score[:, 0] = medoid, x @ x[medoid]
-    seen[:, medoid] = True
-    close: list[tuple[np.ndarray, np.ndarray]] = [(q[score[:, 0] >= least - SLACK], np.full(int((score[:, 0] >= least - SLACK).sum()), medoid))]
-
-    def reach(rows: np.ndarray, to: np.ndarray):
-        """New neighbours of vertices ``to`` for the searches ``rows``: pairs and their cosines."""
-        nb = edges[to]
-        r, v = np.repeat(rows, nb.shape[1]), nb.ravel()
-        new = v >= 0
-        r, v = r[new], v[new]
-        new = ~seen[r, v]
-        key = np.unique(r[new] * n + v[new])
-        r, v = key // n, key % n
-        seen[r, v] = True
-        return r, v, np.einsum("ij,ij->i", x[r], x[v])
-
-    active = q
-    while len(active):
-        open_ = np.where((beam[active] >= 0) & ~expanded[active[:, None], np.maximum(beam[active], 0)], score[active], -np.inf)
-        best = open_.argmax(axis=1)
-        live = open_[np.arange(len(active)), best] > -np.inf
-        active, best = active[live], best[live]
-        if not len(active):
-            break
-        to = beam[active, best]
-        expanded[active, to] = True
-        r, v, s = reach(active, to)
-        near = s >= least - SLACK
-        close.append((r[near], v[near]))
-        if len(r):
-            # the new vertices of each search beside its beam; the best BEAM stay
-            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            size = np.diff(np.r_[first, len(r)])
-            wide = np.full((len(first), BEAM + int(size.max())), -1)
-            value = np.full(wide.shape, -np.inf)
-            rows = r[first]
-            wide[:, :BEAM], value[:, :BEAM] = beam[rows], score[rows]
-            at = np.repeat(np.arange(len(first)), size), BEAM + np.arange(len(r)) - np.repeat(first, size)
-            wide[at], value[at] = v, s
-            keep = np.argpartition(-value, BEAM - 1, axis=1)[:, :BEAM]
-            beam[rows], score[rows] = np.take_along_axis(wide, keep, 1), np.take_along_axis(value, keep, 1)
-
-    r, v = (np.concatenate(c) for c in zip(*close))
-    while len(r):
-        found[r, v] = np.einsum("ij,ij->i", x[r], x[v]) >= least
-        todo = ~expanded[r, v]
-        r, v = r[todo], v[todo]
-        expanded[r, v] = True
-        more = []
-        for at in range(0, len(r), 20_000):
-            a, b, s = reach(r[at : at + 20_000], v[at : at + 20_000])
-            near = s >= least - SLACK
-            more.append((a[near], b[near]))
-        r, v = (np.concatenate(c) for c in zip(*more)) if more else (r[:0], v[:0])
-    found |= found.T
-    np.fill_diagonal(found, False)
-    return found
+def nearest_centroids(u: np.ndarray, centre: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest centroids of each vector, the nearest first."""
+    s = u @ centre.T
+    k = min(k, len(centre))
+    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
 
 def place(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members of the groups that graphs are built on: ``shard, i, j, cid, v, n, shards, block``.
+    """Members of the shards, one row for each shard of a class: ``cid, u, n, shards, shard``.
 
-    A shard above SHARD_MAX is parted by hash into blocks of half that, and there is a group for every two
-    blocks, so that a group's size is bounded and no pair is lost however many vectors lie close together.
+    Centroids are fitted on a bounded sample. Shards above SHARD_MAX are clustered again by centroids of their
+    own, fitted where their sample is, so that a cluster that holds a large part of all vectors is many
+    shards as well. What SPLITS rounds leave above is searched as it is.
     """
     spark = classes.sparkSession
     total = classes.count()
-    k = max(1, min(MAX_SHARDS, -(-total // SHARD)))
-    rows = classes.select("v").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).collect()
+    k = max(1, min(MAX_SHARDS, total // SHARD))
     by_width: dict[int, list] = {}
-    for r in rows:
-        by_width.setdefault(len(r.v), []).append(r.v)
-    centre = {w: centroids(unit(np.array(vs, float)), k) for w, vs in by_width.items()}
-    first = dict(zip(sorted(centre), np.cumsum([0, *(len(centre[w]) for w in sorted(centre))])))
-
-    def nearest(batches):
-        for batch in batches:
-            out = []
-            for v in batch.column("v").to_pylist():
-                c = centre.get(len(v))
-                if c is None or not len(c):
-                    out.append([-len(v)])
-                    continue
-                s = c @ (np.array(v) / np.linalg.norm(v))
-                out.append(sorted(int(first[len(v)] + i) for i in np.argpartition(-s, min(OVERLAP, len(s)) - 1)[:OVERLAP]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], [*batch.schema.names, "shards"])
-
-    dealt = scratch.cut(classes.mapInArrow(nearest, "cid long, v array<double>, n long, shards array<long>"), "dealt")
-    members = dealt.withColumn("shard", F.explode("shards"))
-    size = members.groupBy("shard").agg(F.count("*").alias("size"))
-    large = {r.shard: -(-2 * r.size // SHARD_MAX) for r in size.filter(F.col("size") > SHARD_MAX).collect()}
-    blocks = spark.createDataFrame(list(large.items()) or [(-1 << 62, 1)], "shard long, blocks long")
-    members = members.join(F.broadcast(blocks), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    other = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
-    members = members.withColumn("other", F.explode(other))
-    return members.select("shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "v", "n", "shards", "block")
+    for r in classes.select("cid", "u").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).collect():
+        by_width.setdefault(len(r.u), []).append(r.u)
+    centre, first, at = {}, {}, 0
+    for width in sorted(by_width):
+        centre[width], first[width] = centroids(np.array(by_width[width]), k), at
+        at += len(centre[width])
+    shared = spark.sparkContext.broadcast((centre, first))
+
+    def deal(batches):
+        centre, first = shared.value
+        for batch in parts(batches, 4096):
+            out: list = [None] * batch.num_rows
+            vectors = batch.column("u").to_pylist()
+            for width in {len(v) for v in vectors}:
+                rows = [i for i, v in enumerate(vectors) if len(v) == width]
+                if width not in centre:  # a width that the sample has none of: one shard
+                    found = np.full((len(rows), 1), -width)
+                else:
+                    own = np.array([vectors[i] for i in rows])
+                    found = first[width] + nearest_centroids(own, centre[width], OVERLAP)
+                for i, shards in zip(rows, found.tolist()):
+                    out[i] = shards
+            shards = pa.array(out, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, shards], [*batch.schema.names, "shards"])
+
+    dealt = classes.select("cid", "u", "n").mapInArrow(deal, "cid long, u array<double>, n long, shards array<long>")
+    dealt = scratch.cut(dealt, "dealt-0")
+    for turn in range(1, SPLITS + 1):
+        sizes = dealt.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count("*").alias("size"))
+        large = scratch.cut(sizes.filter(F.col("size") > SHARD_MAX), f"large-{turn}")
+        if not large.take(1):
+            break
+        dealt = scratch.cut(_split(dealt, large), f"dealt-{turn}")
+    return dealt.withColumn("shard", F.explode("shards"))
 
 
-def graph_links(classes: DataFrame, least: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(``cid, links``, ``a, b``): links to vectors of other classes, and edges with their components."""
-    members = scratch.cut(place(classes, scratch), "members")
+def _split(dealt: DataFrame, large: DataFrame) -> DataFrame:
+    """``dealt`` with the ``large`` shards replaced by clusters within them."""
+    members = dealt.withColumn("shard", F.explode("shards"))
+    few = large.count() <= 100_000
+    sized = members.join(F.broadcast(large) if few else large, "shard", "left")
+    rest = sized.filter("size IS NULL").select("cid", F.col("shard").alias("part"))
+    inside = sized.filter("size IS NOT NULL").select("cid", "u", "shard", "size")
+    chance = F.lit(2.0 * SPLIT_SAMPLE) / F.col("size")  # by hash, so the same rows whenever a task runs again
+    sample = inside.filter(F.pmod(F.xxhash64("cid", "shard"), F.lit(1 << 20)) < chance * (1 << 20))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cid")
+        k = int(np.clip(pdf["size"].iloc[0] // SHARD, 2, 256))
+        found = centroids(np.stack(pdf["u"].to_numpy()), k)
+        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "centre": [found.ravel().tolist()]})
+
+    fitted = sample.groupBy("shard").applyInPandas(fit, "shard long, centre array<double>")
+    salts = F.ceil(F.col("size") / DEAL).cast("int")
+    copies = fitted.join(large, "shard").select("shard", "centre", F.explode(F.sequence(F.lit(0), salts)).alias("salt"))
+    salted = inside.withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("size") / DEAL + 1).cast("int")).drop("size")
+
+    def deal(members: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(members) or not len(centres):
+            return members.assign(part=members["shard"])[["cid", "part"]] if len(members) else pd.DataFrame({"cid": [], "part": []})
+        u = np.stack(members["u"].to_numpy())
+        found = nearest_centroids(u, np.asarray(centres["centre"].iloc[0]).reshape(-1, u.shape[1]), SPLIT_OVERLAP)
+        base = np.int64(members["shard"].iloc[0]) * 257 + (1 << 40)
+        return pd.DataFrame({"cid": np.repeat(members["cid"].to_numpy(), found.shape[1]), "part": base + found.ravel()})
+
+    grouped = salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt"))
+    parted = grouped.applyInPandas(deal, "cid long, part long")
+    lists = rest.unionByName(parted).groupBy("cid").agg(F.sort_array(F.collect_set("part")).alias("shards"))
+    return dealt.drop("shards").join(lists, "cid")
+
+
+def united_graph(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """``cid, to``: adjacency lists of the graphs built on every shard, united."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cid")
         ids = pdf["cid"].to_numpy()
-        graph = build_graph(unit(np.stack(pdf["v"].to_numpy()))) if len(pdf) > 1 else [[]]
-        return pd.DataFrame({"cid": ids, "to": [ids[g].tolist() for g in graph]})
+        edges = flat_graph.build(np.stack(pdf["u"].to_numpy()).astype(np.float32))
+        return pd.DataFrame({"cid": ids, "to": [ids[e[e >= 0]].tolist() for e in edges]})
+
+    lists = members.select("shard", "cid", "u").groupBy("shard").applyInPandas(build, "cid long, to array<long>")
+    lists = scratch.cut(lists, "lists")
+    return lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
+
+
+#: What a search gives: the links that it counts for a vertex (``links``), a link (``b``), or a shard where it goes on.
+FOUND = "a long, links long, b long, shard long, seed long"
+
 
-    lists = scratch.cut(members.select("shard", "i", "j", "cid", "v").groupBy("shard", "i", "j").applyInPandas(build, "cid long, to array<long>"), "lists")
-    union = lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
+def _frame(links=(), edges=(), on=()) -> pd.DataFrame:
+    """Rows of FOUND from (vertex, links), (vertex, vertex) and (vertex, shard, seed)."""
+    none = [None]
+    columns = {
+        "a": [x[0] for x in (*links, *edges, *on)],
+        "links": [x[1] for x in links] + none * (len(edges) + len(on)),
+        "b": none * len(links) + [x[1] for x in edges] + none * len(on),
+        "shard": none * (len(links) + len(edges)) + [x[1] for x in on],
+        "seed": none * (len(links) + len(edges)) + [x[2] for x in on],
+    }
+    return pd.DataFrame({c: pd.array(v, "Int64") for c, v in columns.items()})
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+
+class _Shard:
+    """One shard's part of the united graph, in a task."""
+
+    def __init__(self, pdf: pd.DataFrame) -> None:
         pdf = pdf.sort_values("cid", ignore_index=True)
-        ids, n = pdf["cid"].to_numpy(), len(pdf)
-        local = [np.searchsorted(ids, t)[np.isin(t, ids)] for t in map(np.asarray, pdf["to"])]
-        edges = np.full((n, max([1, *map(len, local)])), -1)
-        for k, t in enumerate(local):
-            edges[k, : len(t)] = t
-        found = range_search(unit(np.stack(pdf["v"].to_numpy()).astype(float)), edges, least) if n > 1 else np.zeros((n, n), bool)
-        # a pair counts in the first of the shards that it has in common, and there in one group of blocks
-        shard, i, j = (int(pdf[c].iloc[0]) for c in ("shard", "i", "j"))
-        block = pdf["block"].to_numpy()
-        if i != j:
-            found &= block[:, None] != block[None, :]
-        a, b = np.nonzero(found)
-        shards = [frozenset(s) for s in pdf["shards"]]
-        mine = np.fromiter((min(shards[x] & shards[y]) == shard for x, y in zip(a.tolist(), b.tolist())), bool, len(a))
-        a, b = a[mine], b[mine]
-        links = np.bincount(a, weights=pdf["n"].to_numpy()[b], minlength=n).astype(np.int64)
-        forest = Forest()
-        kept = [(int(ids[x]), int(ids[y])) for x, y in zip(a.tolist(), b.tolist()) if x < y and forest.link(x, y)]
+        self.shard, self.ids, self.n = int(pdf["shard"].iloc[0]), pdf["cid"].to_numpy(), pdf["n"].to_numpy()
+        self.u = np.stack(pdf["u"].to_numpy())
+        self.x = self.u.astype(np.float32)
+        self.lists = [frozenset(s) for s in pdf["shards"]]
+        to = [np.asarray(t, np.int64) for t in pdf["to"]]
+        flat, row = np.concatenate(to), np.repeat(np.arange(len(to)), [len(t) for t in to])
+        at = np.minimum(np.searchsorted(self.ids, flat), len(self.ids) - 1)
+        row, at = row[self.ids[at] == flat], at[self.ids[at] == flat]
+        size = np.bincount(row, minlength=len(to))
+        self.edges = np.full((len(to), max(1, int(size.max()))), -1)
+        self.edges[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = at
+        self.medoid = flat_graph.medoid(self.x)
+
+    def search(self, ids: np.ndarray, u: np.ndarray, now: list, earlier: list, seeds: np.ndarray, least: float):
+        """All queries ``ids`` from the medoid and their seeds; ``now`` and ``earlier`` are the shards they are searched in.
+
+        A pair counts in the first of the shards ``now`` that its vertex is in, unless it is in an earlier one.
+        """
+        start = np.searchsorted(self.ids, seeds)
+        start = np.c_[np.full(len(ids), self.medoid), start]
+        x = u.astype(np.float32)
+        ways = {w: k for k, w in enumerate(dict.fromkeys(zip(now, earlier)))}
+        kinds = {w: k for k, w in enumerate(dict.fromkeys(self.lists))}
+        way = np.array([ways[w] for w in zip(now, earlier)])
+        kind = np.array([kinds[w] for w in self.lists])
+        counted = np.zeros((len(ways), len(kinds)), bool)
+        on: dict[tuple[int, int], tuple[float, int]] = {}
+        goes = {}
+        for (into, past), i in ways.items():
+            for held, j in kinds.items():
+                counted[i, j] = min(into & held, default=None) == self.shard and not past & held
+                if fresh := held - into - past:
+                    goes[i, j] = fresh
+        leaves = np.zeros(counted.shape, bool)
+        for i, j in goes:
+            leaves[i, j] = True
+        links, forest, edges = np.zeros(len(ids), np.int64), Forest(), []
+        for q, v in flat_graph.range_pairs(self.x, self.edges, x, start, least - SLACK):
+            other = ids[q] != self.ids[v]
+            q, v = q[other], v[other]
+            cos = np.einsum("ij,ij->i", u[q], self.u[v])
+            linked = cos >= least
+            mine = linked & counted[way[q], kind[v]]
+            np.add.at(links, q[mine], self.n[v[mine]])
+            for a, b in zip(ids[q[linked]].tolist(), self.ids[v[linked]].tolist()):
+                if forest.link(a, b):
+                    edges.append((a, b))
+            out = np.flatnonzero(leaves[way[q], kind[v]] & (cos >= least - BRIDGE))
+            for a, b, c in zip(q[out].tolist(), v[out].tolist(), cos[out].tolist()):
+                for t in goes[way[a], kind[b]]:
+                    if (a, t) not in on or on[a, t][0] < c:
+                        on[a, t] = c, b
         some = np.flatnonzero(links)
-        return pd.DataFrame({"a": [*ids[some].tolist(), *(x for x, _ in kept)], "b": pd.array([None] * len(some) + [y for _, y in kept], "Int64"), "links": pd.array([*links[some].tolist(), *[None] * len(kept)], "Int64")})
+        return _frame(
+            list(zip(ids[some].tolist(), links[some].tolist())),
+            edges,
+            [(int(ids[a]), t, int(self.ids[b])) for (a, t), (_, b) in on.items()],
+        )
+
+
+def graph_links(classes: DataFrame, least: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(``cid, links``, ``a, b``): links to vectors of other classes, and edges with their components.
+
+    Every vector is searched in its shards: greedily from the medoid and its own place, then over all that
+    lies in range. A vertex in range that is in other shards too is where a search leaves: it goes on there
+    in the next round, from that vertex and the medoid, until no search has a shard to go to where it has
+    not been. Cosines are verified in double precision.
+    """
+    members = scratch.cut(place(classes, scratch), "members")
+    graph = scratch.cut(members.join(united_graph(members, scratch), "cid"), "graph")
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = _Shard(pdf)
+        return s.search(s.ids, s.u, s.lists, [frozenset()] * len(s.ids), s.ids, least)
+
+    found = scratch.cut(graph.groupBy("shard").applyInPandas(first, FOUND), "found-0")
+    rounds = [found]
+    been = members.select(F.col("cid").alias("a"), "shard", F.lit(0).alias("turn"))
+    for turn in range(1, ROUNDS + 1):
+        on = found.filter("shard IS NOT NULL").groupBy("a", "shard").agg(F.min("seed").alias("seed"))
+        on = scratch.cut(on.join(been, ["a", "shard"], "left_anti"), f"on-{turn}")
+        if not on.take(1):
+            break
+        past = been.join(on.select("a").distinct(), "a").groupBy("a").agg(F.collect_set("shard").alias("earlier"))
+        into = on.groupBy("a").agg(F.collect_set("shard").alias("now"))
+        asked = on.join(into, "a").join(past, "a").join(classes.select(F.col("cid").alias("a"), "u"), "a")
+        found = scratch.cut(_go_on(graph, asked, on, least), f"found-{turn}")
+        rounds.append(found)
+        been = been.unionByName(on.select("a", "shard", F.lit(turn).alias("turn")))
+    every = rounds[0]
+    for more in rounds[1:]:
+        every = every.unionByName(more)
+    links = every.filter("links IS NOT NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+    return links, every.filter("b IS NOT NULL").select("a", "b")
+
+
+def _go_on(graph: DataFrame, asked: DataFrame, on: DataFrame, least: float) -> DataFrame:
+    """One more round of searches in the shards that they go to, a bounded number of them in a task."""
+    sizes = on.groupBy("shard").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("salts"))
+    queries = asked.join(sizes, "shard").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
+    copies = graph.join(sizes, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+    def search(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(members):
+            return _frame()
+        s = _Shard(members)
+        now, earlier = ([frozenset(x) for x in queries[c]] for c in ("now", "earlier"))
+        u = np.stack(queries["u"].to_numpy())
+        return s.search(queries["a"].to_numpy(), u, now, earlier, queries["seed"].to_numpy(), least)
+
+    grouped = queries.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt"))
+    return grouped.applyInPandas(search, FOUND)
+
+
+def unit_vector(vector: Column) -> Column:
+    """The vector at length one in double precision, scaled first so that no square over- or underflows; null if it can't link.
+
+    Null, empty and zero vectors can't, nor can those with null or non-finite components.
+    """
+
+    def let(value: Column, body) -> Column:  # computed once, where a column named in a lambda is computed at each element
+        return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    joined = members.join(union, "cid").groupBy("shard", "i", "j").applyInPandas(search, "a long, b long, links long")
-    out = scratch.cut(joined, "found")
-    return out.filter("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links")), out.filter("b IS NOT NULL").select("a", "b")
+    def at_length_one(v: Column) -> Column:
+        length = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x * x))
+        over = lambda w, by: F.transform(w, lambda x: x / by)
+        largest = F.array_max(F.transform(v, lambda x: F.abs(x)))
+        return let(let(largest, lambda m: over(v, m)), lambda w: let(length(w), lambda n: over(w, n)))
+
+    v = F.transform(vector, lambda x: x.cast("double"))
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+    return F.when(usable, let(v, at_length_one))
 
 
 def near_vectors(rows: DataFrame, least: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Links at a cosine of ``least`` or more: ``vec_id, n_links, component_id, kept`` for every row.
 
-    Equal vectors are one class, however many; a robust-pruned graph over the classes finds the links
-    between classes, and double precision verifies each. Centroids are fitted on at most SAMPLE vectors
+    Vectors of one direction are one class, however many; a robust-pruned graph over the classes finds the
+    links between classes, and double precision verifies each. Centroids are fitted on at most SAMPLE vectors
     (those with the smallest hash), every vector is indexed in its OVERLAP nearest shards, adjacency lists
-    of all shards are united, and each vector is searched in each of its shards. Links that the graph
-    misses are missed; :func:`audit` measures how many.
+    of all shards are united, and each vector is searched from the medoids of its shards and on into others.
+    Links that the graph misses are missed; :func:`true_links` counts those of some vectors by brute force.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-    different lengths don't link. Rows with the same ``vec_id`` count as several vectors. Rows without one
-    have no class of their own: they link with nothing, ``component_id`` null, ``kept`` null. Other columns
-    are ignored; an empty table gives an empty result.
+    different lengths don't link. Rows with the same ``vec_id`` count as several vectors, each with its own
+    links. Rows without one have no class of their own: they link with nothing, ``component_id`` null,
+    ``kept`` null. Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(rows.sparkSession, "vectors")
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    keyed = base.select("vec_id", F.when(usable, F.col("v")).alias("v"))
-    keyed = scratch.cut(keyed.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.col("v")).alias("h2")), "keyed")
-    classes = scratch.cut(keyed.filter("v IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_id").alias("cid"), F.first("v").alias("v"), F.count("*").alias("n")), "classes")
-    links, edges = graph_links(classes.select("cid", "v", "n"), least, scratch)
-    parts = components(edges, scratch).withColumnRenamed("id", "cid")
-    named = classes.select("h1", "h2", "cid", "n").join(links, "cid", "left").join(parts, "cid", "left")
-    named = scratch.cut(named.select("h1", "h2", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "cid").alias("component_id")), "named")
-    good = join_hot(keyed.filter("v IS NOT NULL").select("vec_id", "h1", "h2"), named, ["h1", "h2"], "n").select("vec_id", "n_links", "component_id")
-    bad = keyed.filter("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), unit_vector(F.col(vector)).alias("u"))
+    keyed = base.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("u")).alias("u"))
+    keyed = keyed.select("vec_id", "u", F.xxhash64("u").alias("h1"), F.xxhash64(F.lit(1), F.col("u")).alias("h2"))
+    keyed = scratch.cut(keyed, "keyed")
+    same = keyed.filter("u IS NOT NULL").groupBy("h1", "h2")
+    classes = same.agg(F.min("vec_id").alias("first"), F.first("u").alias("u"), F.count("*").alias("n"))
+    classes = scratch.cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    links, edges = graph_links(classes.select("cid", "u", "n"), least, scratch)
+    parts_of = components(edges, scratch).withColumnRenamed("id", "cid")
+    placed = classes.select("cid", "h1", "h2", "n", "first").join(links, "cid", "left").join(parts_of, "cid", "left")
+    placed = placed.withColumn("part", F.coalesce("component_id", "cid")).drop("component_id")
+    names = placed.groupBy("part").agg(F.min("first").alias("component_id"))
+    others = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")
+    named = scratch.cut(placed.join(names, "part").select("h1", "h2", "n", others, "component_id"), "named")
+    good = keyed.filter("u IS NOT NULL").select("vec_id", "h1", "h2")
+    good = join_hot(good, named, ["h1", "h2"], "n").select("vec_id", "n_links", "component_id")
+    bad = keyed.filter("u IS NULL")
+    bad = bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(bad).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def audit(rows: DataFrame, found: DataFrame, least: float = 0.95, queries: int = 200, vec_id: str = "vec_id", vector: str = "embedding") -> float:
-    """Recall of ``found``: its links over the true ones of ``queries`` vectors (smallest hashes), each held against all rows."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("v", lambda x: x != 0))
-    asked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(queries).collect()
+def true_links(rows: DataFrame, least: float = 0.95, queries: int = 200, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``vec_id, true_links`` of a bounded sample (``queries`` vectors, smallest hashes), each held against all rows.
+
+    The audit of :func:`near_vectors`: recall is the sum of ``n_links`` over that of ``true_links``.
+    """
+    base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), unit_vector(F.col(vector)).alias("u"))
+    base = base.filter("vec_id IS NOT NULL AND u IS NOT NULL")
+    once = base.groupBy("vec_id").agg(F.count("*").alias("n"), F.first("u").alias("u")).filter("n = 1")
+    asked = once.orderBy(F.xxhash64("vec_id"), "vec_id").limit(queries).collect()
     by_width: dict[int, list] = {}
     for r in asked:
-        by_width.setdefault(len(r.v), []).append(r)
-    wanted = {w: ([r.vec_id for r in rs], unit(np.array([r.v for r in rs]))) for w, rs in by_width.items()}
+        by_width.setdefault(len(r.u), []).append(r)
+    wanted = {w: ([r.vec_id for r in rs], np.array([r.u for r in rs])) for w, rs in by_width.items()}
 
     def count(batches):
-        for batch in batches:
-            tally: dict[int, int] = {}
-            for i, x in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist()):
-                ids, q = wanted.get(len(x), ([], None))
+        tally: dict[int, int] = {}
+        for batch in parts(batches, 4096):
+            by: dict[int, list] = {}
+            for u in batch.column("u").to_pylist():
+                by.setdefault(len(u), []).append(u)
+            for width, us in by.items():
+                ids, q = wanted.get(width, ([], None))
                 if ids:
-                    for k in np.flatnonzero(q @ (np.array(x) / np.linalg.norm(x)) >= least):
-                        tally[ids[k]] = tally.get(ids[k], 0) + (ids[k] != i)
-            yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.int64()), pa.array(tally.values(), pa.int64())], ["vec_id", "true"])
+                    near = np.count_nonzero(q @ np.array(us).T >= least, axis=1)
+                    for k, n in zip(ids, near.tolist()):
+                        tally[k] = tally.get(k, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.int64()), pa.array(tally.values(), pa.int64())], ["vec_id", "n"])
 
-    true = base.mapInArrow(count, "vec_id long, true long").groupBy("vec_id").agg(F.sum("true").alias("true"))
-    r = true.join(found, "vec_id").agg(F.sum("true").alias("true"), F.sum("n_links").alias("got")).first()
-    return 1.0 if not r.true else r.got / r.true
+    counted = base.select("u").mapInArrow(count, "vec_id long, n long")
+    return counted.groupBy("vec_id").agg((F.sum("n") - 1).alias("true_links"))
