@@ -12,8 +12,8 @@ ALPHA = 1.2
 BUILD_BEAM, BEAM, POOL = 32, 16, 64
 #: Vertices that are inserted together, and of those the nearest that each is also offered.
 BATCH, BESIDE = 512, 8
-#: Cells of a search's table of seen vertices.
-CELLS = 1 << 24
+#: Cells of a search's table of seen vertices; vertices expanded at a time; distances between pooled vertices at a time.
+CELLS, AT_ONCE, DISTANCES = 1 << 22, 2000, 1 << 22
 
 
 def medoid(x: np.ndarray) -> int:
@@ -103,8 +103,8 @@ class Search:
             r, v = r[fresh], v[fresh]
             self.expanded[r, v] = True
             todo = []
-            for at in range(0, len(r), 20_000):
-                a, b, s = self._neighbours(r[at : at + 20_000], v[at : at + 20_000])
+            for at in range(0, len(r), AT_ONCE):
+                a, b, s = self._neighbours(r[at : at + AT_ONCE], v[at : at + AT_ONCE])
                 near = s >= keep
                 if near.any():
                     todo.append((a[near], b[near]))
@@ -154,9 +154,10 @@ def _add_back(x: np.ndarray, edges: np.ndarray, used: np.ndarray, at: np.ndarray
     if full.any():
         a, b = a[full], b[full]
         rows, new, _ = _rows(b, a, np.zeros(len(a), np.float32))
-        for k in range(0, len(rows), BATCH):
-            some = rows[k : k + BATCH]
-            pool = np.concatenate([edges[some], new[k : k + BATCH]], axis=1)
+        step = max(1, DISTANCES // (GATHERED + new.shape[1]) ** 2)
+        for k in range(0, len(rows), step):
+            some = rows[k : k + step]
+            pool = np.concatenate([edges[some], new[k : k + step]], axis=1)
             kept = robust_prune(x, some, pool)
             edges[some] = -1
             edges[some, :DEGREE] = kept

@@ -187,35 +187,37 @@ class _Shard:
         start = np.searchsorted(self.ids, seeds)
         start = np.c_[np.full(len(ids), self.medoid), start]
         x = u.astype(np.float32)
-        ways = {w: k for k, w in enumerate(dict.fromkeys(zip(now, earlier)))}
-        kinds = {w: k for k, w in enumerate(dict.fromkeys(self.lists))}
-        way = np.array([ways[w] for w in zip(now, earlier)])
-        kind = np.array([kinds[w] for w in self.lists])
-        counted = np.zeros((len(ways), len(kinds)), bool)
+        ways, kinds = list(dict.fromkeys(zip(now, earlier))), list(dict.fromkeys(self.lists))
+        number = {w: k for k, w in enumerate(ways)}, {w: k for k, w in enumerate(kinds)}
+        way = np.array([number[0][w] for w in zip(now, earlier)])
+        kind = np.array([number[1][w] for w in self.lists])
+        known: dict[int, tuple[bool, frozenset]] = {}
+
+        def judged(key: int) -> tuple[bool, frozenset]:
+            """Whether pairs of this way and kind count here, and the shards that they lead to."""
+            if key not in known:
+                (into, past), held = ways[key // len(kinds)], kinds[key % len(kinds)]
+                known[key] = min(into & held, default=None) == self.shard and not past & held, held - into - past
+            return known[key]
+
         on: dict[tuple[int, int], tuple[float, int]] = {}
-        goes = {}
-        for (into, past), i in ways.items():
-            for held, j in kinds.items():
-                counted[i, j] = min(into & held, default=None) == self.shard and not past & held
-                if fresh := held - into - past:
-                    goes[i, j] = fresh
-        leaves = np.zeros(counted.shape, bool)
-        for i, j in goes:
-            leaves[i, j] = True
         links, forest, edges = np.zeros(len(ids), np.int64), Forest(), []
         for q, v in flat_graph.range_pairs(self.x, self.edges, x, start, least - SLACK):
             other = ids[q] != self.ids[v]
             q, v = q[other], v[other]
             cos = np.einsum("ij,ij->i", u[q], self.u[v])
             linked = cos >= least
-            mine = linked & counted[way[q], kind[v]]
+            keys, of_pair = np.unique(way[q] * len(kinds) + kind[v], return_inverse=True)
+            counts = np.array([judged(k)[0] for k in keys.tolist()], bool)
+            leads = np.array([bool(judged(k)[1]) for k in keys.tolist()], bool)
+            mine = linked & counts[of_pair]
             np.add.at(links, q[mine], self.n[v[mine]])
             for a, b in zip(ids[q[linked]].tolist(), self.ids[v[linked]].tolist()):
                 if forest.link(a, b):
                     edges.append((a, b))
-            out = np.flatnonzero(leaves[way[q], kind[v]] & (cos >= least - BRIDGE))
-            for a, b, c in zip(q[out].tolist(), v[out].tolist(), cos[out].tolist()):
-                for t in goes[way[a], kind[b]]:
+            out = np.flatnonzero(leads[of_pair] & (cos >= least - BRIDGE))
+            for a, b, c, k in zip(q[out].tolist(), v[out].tolist(), cos[out].tolist(), of_pair[out].tolist()):
+                for t in judged(int(keys[k]))[1]:
                     if (a, t) not in on or on[a, t][0] < c:
                         on[a, t] = c, b
         some = np.flatnonzero(links)
