@@ -115,7 +115,7 @@ def join_hot(
     for every HOT_KEY_ROWS rows of the table. The others are joined by a shuffle in which no key is large.
     """
     total = keyed.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
-    least = min(max(total // hot_rows, 1000), HOT_KEY_ROWS)
+    least = min(max(total // hot_rows, 1), HOT_KEY_ROWS)
     hot = keyed.filter(F.col(count) > least)
     cold = keyed.filter(F.col(count) <= least)
     if not hot.take(1):
