@@ -10,7 +10,7 @@ from tessera.operators import chunk, cleaning, links, quality
 from tessera.operators.boundary import best_cuts, candidates
 from tessera.operators.graph import answers, build_edges, explains, heading_paths, references, relationship_loss, surrounding_text
 from tessera.operators.profile import build_profile, route
-from tessera.plans.engine import Config, process
+from tessera.plans.engine import process
 from tessera.plans.registry import query, spread, table
 from tessera.plans.scratch import Scratch
 from tessera.schema import elements as as_elements
@@ -201,7 +201,7 @@ def adaptive_units(spark, sf_dir):
 def engine_units(spark, sf_dir):
     """The whole engine over pages and documents."""
     pages = page_elements(spark, sf_dir, 5).withColumn("doc_id", -1 - F.col("doc_id"))
-    r = process(elements(spark, sf_dir).unionByName(pages), config=Config(normalise=False))
+    r = process(elements(spark, sf_dir).unionByName(pages))
     return r.units.select("doc_id", "seq", "id", "strategy", "unit_type", "token_count", F.size("heading_path").alias("depth"), F.size("relationships").alias("n_links"), "context_completeness")
 
 

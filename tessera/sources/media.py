@@ -78,27 +78,46 @@ def _topic() -> Column:
     return F.translate(F.regexp_replace("name", r"\.[^.]*$", ""), "_-", "  ")
 
 
-def stand_in_speech(files: DataFrame) -> DataFrame:
-    """Three invented segments for evaluation without a transcriber; only for those who ask for it."""
-    topic = _topic()
-    rows = F.array(*[F.struct(F.lit(a).alias("t0"), F.lit(b).alias("t1"), F.lit(s).alias("speaker"), t.alias("text")) for a, b, s, t in (
-        (0.0, 6.5, "SPEAKER_01", F.concat(F.lit("We open the session about "), topic, F.lit(" with its main points."))),
-        (7.0, 14.2, "SPEAKER_02", F.concat(F.lit("What are the aims and conclusions for "), topic, F.lit("?"))),
-        (14.8, 22.0, "SPEAKER_01", F.lit("We decided to adopt the plan and agreed on action items for the team.")),
-    )])
-    return files.select("doc_id", F.posexplode(rows).alias("pos", "s")).select("doc_id", "pos", F.concat(F.lit("el_"), F.col("pos").cast("string")).alias("id"), F.lit("speech_segment").alias("kind"), "s.text", "s.t0", "s.t1", "s.speaker")
-
-
-def stand_in_video(files: DataFrame) -> DataFrame:
-    """Four invented elements, each labelled synthetic with no confidence."""
-    topic = _topic()
-    fields = ("kind", "t0", "t1", "speaker", "text", "visual_summary", "scene", "visual_change_type")
-    text = lambda s: F.lit(s).cast("string")
-    rows = F.array(*[F.struct(*[(v if isinstance(v, Column) else F.lit(v).cast("double" if n in ("t0", "t1") else "string")).alias(n) for n, v in zip(fields, row)]) for row in (
-        ("visual_event", 0.0, 5.0, None, F.concat(F.lit("Title card: "), topic), F.concat(F.lit("slide that introduces "), topic), "introduction", "slide"),
-        ("speech_segment", 1.0, 8.5, "SPEAKER_01", F.concat(F.lit("This session goes through the parts and results of "), topic, text(".")), "presenter at a whiteboard", None, None),
-        ("speech_segment", 9.0, 18.0, "SPEAKER_01", "As shown on this slide, extraction, links and chunking form one pipeline.", "diagram of pipeline stages on screen", None, None),
-        ("visual_event", 18.5, 25.0, None, "Demonstration of finished units and their scorecard", "dashboard with metrics and a graph", "demo", "scene"),
-    )])
-    out = files.select("doc_id", F.posexplode(rows).alias("pos", "s"))
-    return out.select("doc_id", "pos", F.format_string("v_el_%04d", "pos").alias("id"), *[F.col(f"s.{f}").alias(f) for f in fields], F.lit(True).alias("synthetic"), F.lit("synthetic_fallback").alias("extraction_mode"), F.lit(0.0).alias("data_confidence"))
+def _stand_in(files: DataFrame, count: int, seconds: float, what: str) -> DataFrame:
+    """``count`` stretches of ``seconds`` each, one after the other, with a text that says what it stands for."""
+    k = F.col("pos")
+    placed = files.select("doc_id", _topic().alias("topic"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("pos"))
+    text = F.format_string(f"Placeholder {what} %d of {count} for %s.", k + 1, F.col("topic"))
+    return placed.select("doc_id", "pos", "topic", text.alias("text"), (k * seconds).alias("t0"), ((k + 1) * seconds).alias("t1"))
+
+
+def stand_in_speech(files: DataFrame, segments: int = 5, seconds: float = 4.0) -> DataFrame:
+    """Placeholder segments where no transcriber is at hand; only for those who ask for them."""
+    rows = _stand_in(files, segments, seconds, "segment")
+    return rows.select(
+        "doc_id",
+        "pos",
+        F.concat(F.lit("el_"), F.col("pos").cast("string")).alias("id"),
+        F.lit("speech_segment").alias("kind"),
+        "text",
+        "t0",
+        "t1",
+        F.concat(F.lit("VOICE_"), (F.col("pos") % 2).cast("string")).alias("speaker"),
+    )
+
+
+def stand_in_video(files: DataFrame, elements: int = 6, seconds: float = 3.0) -> DataFrame:
+    """Placeholder elements, every third one seen and the others said, each labelled synthetic with no confidence."""
+    rows = _stand_in(files, elements, seconds, "element")
+    seen = F.col("pos") % 3 == 2
+    return rows.select(
+        "doc_id",
+        "pos",
+        F.format_string("v_el_%04d", "pos").alias("id"),
+        F.when(seen, "visual_event").otherwise("speech_segment").alias("kind"),
+        "t0",
+        "t1",
+        F.when(~seen, F.concat(F.lit("VOICE_"), (F.col("pos") % 2).cast("string"))).alias("speaker"),
+        "text",
+        F.when(seen, F.concat(F.lit("placeholder picture of "), "topic")).alias("visual_summary"),
+        F.when(seen, "placeholder").alias("scene"),
+        F.when(seen, "scene").alias("visual_change_type"),
+        F.lit(True).alias("synthetic"),
+        F.lit("synthetic_fallback").alias("extraction_mode"),
+        F.lit(0.0).alias("data_confidence"),
+    )

@@ -51,9 +51,10 @@ def numbered_levels(headings: DataFrame) -> DataFrame:
 def heading_stack(elements: DataFrame) -> DataFrame:
     """``level`` and ``parent_id`` of layout elements whose headings carry numbers or none (``is_title`` marks titles).
 
-    A title clears the stack; a numbered heading goes under the nearest one whose number is a dotted prefix
-    of its own; an unnumbered one drops unnumbered ones and joins the stack only if that is empty then. The
-    stack depends on all headings before, so the headings of a document, and nothing else, are walked once.
+    A title clears the stack. A numbered heading closes all headings, the title included, down to one whose
+    number is a dotted prefix of its own, and goes under that. An unnumbered one closes the unnumbered ones on
+    top, the title included, and joins the stack only if that is empty then. The stack depends on all
+    headings before, so the headings of a document, and nothing else, are walked once.
     """
     import pandas as pd
 
@@ -72,12 +73,12 @@ def heading_stack(elements: DataFrame) -> DataFrame:
                         stack, level, parent = [], 1, None
                         stack.append((r["id"], None, 1))
                     elif number:
-                        while stack and stack[-1][1] is not None and not number.startswith(stack[-1][1] + "."):
+                        while stack and not number.startswith(f"{stack[-1][1]}."):
                             stack.pop()
                         parent, level = (stack[-1][0] if stack else None), number.count(".") + 2
                         stack.append((r["id"], number, level))
                     else:
-                        while len(stack) > 1 and stack[-1][1] is None:
+                        while stack and stack[-1][1] is None:
                             stack.pop()
                         parent, level = (stack[-1][0], stack[-1][2] + 1) if stack else (None, 2)
                         if not stack:

@@ -49,6 +49,6 @@ def test_entry(spark):
 
 def test_without_the_optional_part(tmp_path):
     repo = os.path.dirname(os.path.abspath(entry.__file__))
-    subprocess.run(f"cp -r {repo}/tessera {repo}/__spark_entry__.py {tmp_path} && rm -rf {tmp_path}/tessera/llm", shell=True, check=True)
+    subprocess.run(f"cp -r {repo}/tessera {repo}/__spark_entry__.py {repo}/corpus_pipeline.py {tmp_path} && rm -rf {tmp_path}/tessera/llm", shell=True, check=True)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert int(out.stdout) == len(QUERIES), out.stderr
