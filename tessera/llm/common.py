@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 #: Rows of one key that a plain join may send to one task, whatever share of the table they are.
 HOT_KEY_ROWS = 10_000_000
+#: Spark's setting by which the shuffle files of a plan are removed as it ends, not when the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,8 +94,16 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def cut(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        """Write ``df`` and read it back."""
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name))
+        """Write ``df`` and read it back. Its shuffle files, which nothing reads again, go when it is written."""
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name))
+        finally:
+            if before is None:
+                self.spark.conf.unset(SHUFFLE_CLEANUP)
+            else:
+                self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.read(df.schema, name)
 
     def read(self, schema, name: str) -> DataFrame:
