@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def in_sequence() -> Window:
@@ -59,20 +59,29 @@ def attach(units: DataFrame, links: DataFrame, parents: DataFrame) -> DataFrame:
     return out.withColumns({"relationships": F.coalesce("__r", "relationships"), "parent_id": F.coalesce("__p", "parent_id"), "child_ids": F.coalesce("__c", "child_ids")}).drop("__r", "__p", "__c")
 
 
+def _grams(text: Column, n: int = 4) -> Column:
+    """The distinct runs of ``n`` characters of a text of at least as many."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: text.substr(i, F.lit(n))))
+
+
 def mentions(units: DataFrame, files: DataFrame) -> DataFrame:
     """Units that name another document's file: ``src_doc, src, dst_doc, dst``.
 
-    ``files`` has ``doc_id, name``. A name counts as whole, or without its extension if that has more than
-    three characters. Names are looked up by the words of a text, so texts meet names by an equal key and
-    not each with each: names of several words are found by their first and then compared whole.
+    ``files`` has ``doc_id, name``. A name counts, in either case and also within longer words, as whole or
+    without its extension, if what is left has more than three characters. Each name is filed under that one
+    of its four-character runs which the fewest names have, so texts meet names by an equal key and not each
+    with each; the texts themselves go only to the pairs that met. Null names and contents name nothing.
     """
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
-    keys = files.select("doc_id", F.explode(F.array_distinct(F.array("name", stem))).alias("key")).filter((F.length("key") > 3) & (F.col("key") != ""))
-    first = lambda c: F.lower(F.get(F.filter(F.split(c, r"[^\p{L}\p{N}]+", -1), lambda w: w != ""), F.lit(0)))
-    named = keys.select(F.col("doc_id").alias("dst_doc"), "key", first(F.col("key")).alias("word"))
-    words = F.array_distinct(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""))
-    said = units.select(F.col("doc_id").alias("src_doc"), F.col("id").alias("src"), "content", F.explode_outer(words).alias("word"))
-    hits = said.join(named, "word").filter(F.col("content").contains(F.col("key")) & (F.col("src_doc") != F.col("dst_doc"))).select("src_doc", "src", "dst_doc").distinct()
+    lowered = files.select("doc_id", F.lower("name").alias("name")).filter(F.length(stem) > 3)
+    keys = lowered.select(F.col("doc_id").alias("dst_doc"), F.explode(F.array_distinct(F.array("name", stem))).alias("key"))
+    runs = keys.withColumn("gram", F.explode(_grams(F.col("key"))))
+    named = runs.join(runs.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    named = named.groupBy("dst_doc", "key").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    said = units.select(F.col("doc_id").alias("src_doc"), F.col("id").alias("src"), F.lower("content").alias("content"))
+    met = said.select("src_doc", "src", F.explode(_grams(F.col("content"))).alias("gram")).join(named, "gram").filter("src_doc <> dst_doc")
+    hits = met.join(said, ["src_doc", "src"]).filter(F.col("content").contains(F.col("key"))).select("src_doc", "src", "dst_doc").distinct()
     anchors = units.groupBy(F.col("doc_id").alias("dst_doc")).agg(F.max_by("id", F.when(F.col("unit_type").isin("section", "schema_card"), F.col("seq"))).alias("last"), F.min_by("id", "seq").alias("first"))
     return hits.join(anchors, "dst_doc").select("src_doc", "src", "dst_doc", F.coalesce("last", "first").alias("dst"))
 
