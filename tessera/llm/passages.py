@@ -198,10 +198,10 @@ def pieces(text: str) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray,
     return out, shingles, first, last - SHINGLE + 1, says
 
 
-def keys_of(found: list[tuple], n_bands: int, n_rows: int) -> np.ndarray:
+def keys_of(found: list[tuple], n_bands: int, n_rows: int, every: bool = False) -> np.ndarray:
     """Band keys of the paragraphs of several texts' :func:`pieces`: one row each.
 
-    The bands of a paragraph that says nothing are those of nothing but itself.
+    Unless ``every`` is set, the bands of a paragraph that says nothing are those of nothing but itself.
     """
     size = np.cumsum([0] + [len(shingles) for _, shingles, *_ in found])
     first = np.concatenate([f + at for (_, _, f, _, _), at in zip(found, size)])
@@ -209,11 +209,19 @@ def keys_of(found: list[tuple], n_bands: int, n_rows: int) -> np.ndarray:
     if not len(first):
         return np.empty((0, n_bands), np.uint64)
     keys = bands(np.concatenate([shingles for _, shingles, *_ in found]), first, last, n_bands, n_rows)
+    if every:
+        return keys
     says = np.concatenate([x for *_, x in found])
     own = np.array([x[0] for out, _, f, *_ in found for x in out[: len(f)]], np.uint64)[:, None] * np.uint64(PERMUTATIONS)
     return np.where(says[:, None], keys, own + np.arange(n_bands, dtype=np.uint64))
 
 
+def likes(shingles: np.ndarray, first: np.ndarray, last: np.ndarray, says: np.ndarray) -> list[int | None]:
+    """For paragraphs that say nothing a hash of their set of shingles: many differ only in how often they say it."""
+    sets = (None if told else np.unique(shingles[a:b]) for a, b, told in zip(first.tolist(), last.tolist(), says.tolist()))
+    return [None if x is None else xxhash.xxh64_intdigest(x.tobytes(), 3) for x in sets]
+
+
 def units(text: str, n_bands: int = 10, n_rows: int = 4) -> tuple[list[tuple], np.ndarray]:
     """The units of one text's :func:`pieces`, and :func:`keys_of` its paragraphs."""
     found = pieces(text)
@@ -224,16 +232,23 @@ def signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-UNIT = "doc_id long, version long, unit long, check long, start int, end int, bands array<long>"
+def signed_or_null(values: list[int | None]) -> pa.Array:
+    return pa.array(np.array([x or 0 for x in values], np.uint64).view(np.int64), mask=np.array([x is None for x in values]))
+
+
+UNIT = "doc_id long, version long, unit long, check long, like long, start int, end int, bands array<long>"
 
 
-def all_units(docs: DataFrame, least: float) -> DataFrame:
-    """``doc_id, version, unit, check, start, end, bands`` of all documents; the last is null for windows."""
+def all_units(docs: DataFrame, least: float, every: bool) -> DataFrame:
+    """``doc_id, version, unit, check, like, start, end, bands`` of all documents; the last is null for windows.
+
+    ``like`` is what :func:`likes` gives if ``every`` is set, else null.
+    """
     n_bands, n_rows = banding(least)
 
     def run(batches):
         for batch in parts(batches):
-            doc, version, found, flat, size, waiting, held = [], [], [], [], [], [], 0
+            doc, version, found, like, flat, size, waiting, held = [], [], [], [], [], [], [], 0
             for d, v, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text"))):
                 waiting.append(pieces(text))
                 own, n = waiting[-1][0], len(waiting[-1][2])
@@ -241,21 +256,21 @@ def all_units(docs: DataFrame, least: float) -> DataFrame:
                 doc += [d] * len(own)
                 version += [v] * len(own)
                 found += own
+                like += [*(likes(*waiting[-1][1:]) if every else [None] * n), *[None] * (len(own) - n)]
                 held += len(waiting[-1][1])
                 if held > SPAN // 8:  # the temporaries of the bands stay in the processor's cache
-                    flat.append(keys_of(waiting, n_bands, n_rows).view(np.int64).ravel())
+                    flat.append(keys_of(waiting, n_bands, n_rows, every).view(np.int64).ravel())
                     waiting, held = [], 0
             if not doc:
                 continue
             if waiting:
-                flat.append(keys_of(waiting, n_bands, n_rows).view(np.int64).ravel())
+                flat.append(keys_of(waiting, n_bands, n_rows, every).view(np.int64).ravel())
             unit, check, start, end = zip(*found)
-            check = pa.array(np.array([c or 0 for c in check], np.uint64).view(np.int64), mask=np.array([c is None for c in check]))
             offsets = pa.array(np.r_[0, np.cumsum([s or 0 for s in size])].astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)), mask=pa.array([s is None for s in size]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(version, pa.int64()), signed(unit), check, pa.array(start, pa.int32()), pa.array(end, pa.int32()), lists],
-                ["doc_id", "version", "unit", "check", "start", "end", "bands"],
+                [pa.array(doc, pa.int64()), pa.array(version, pa.int64()), signed(unit), signed_or_null(check), signed_or_null(like), pa.array(start, pa.int32()), pa.array(end, pa.int32()), lists],
+                ["doc_id", "version", "unit", "check", "like", "start", "end", "bands"],
             )
 
     return docs.mapInArrow(run, UNIT)
@@ -352,7 +367,7 @@ def reaches(a, b, least: float) -> bool:
 KEY = ["doc_id", "version"]
 
 
-def repeated_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def repeated_passages(docs: DataFrame, least: float = 0.8, every: bool = False) -> DataFrame:
     """Passages that stand in several documents: a row for each document that has any.
 
     Returns ``doc_id, n_repeated`` (paragraphs and windows found again in other documents), ``n_removed``
@@ -365,10 +380,11 @@ def repeated_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
     taken at winnowed places of the whole text; equal ones name the documents in which all windows near them
     are then compared, by a second, independent hash. What equal windows cover is a passage, to its ends, if
     both hashes found one of them: no WINNOW windows in a row of a repeated passage go unfound, so one of 49
-    words or more is found wherever it begins. Words are divided by white space, ASCII letters lower-cased. Windows in which a few words are
-    said over and over are no passage, such paragraphs are compared for equality alone. Links are closed
-    to components; a component of two or more documents stays in the smallest of them and is removed from
-    the others.
+    words or more is found wherever it begins. Words are divided by white space, ASCII letters lower-cased.
+    Windows in which a few words are said over and over are no passage. Such paragraphs are compared for
+    equality alone, or with ``every`` like any other; those of one set of shingles then meet others as one.
+    Links are closed to components; a component of two or more documents stays in the smallest of them and
+    is removed from the others.
 
     Equal paragraphs (by two independent hashes) are one vertex, however many. Buckets of more than BUCKET
     different paragraphs are parted into blocks, every two of which meet, so no comparison is lost and no
@@ -379,15 +395,15 @@ def repeated_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
     only texts of one ``doc_id`` share is not repeated. Rows without a ``doc_id`` are left out. Other columns
     are ignored; an empty table gives an empty result.
     """
-    return _repeated(docs, least).drop("version")
+    return _repeated(docs, least, every).drop("version")
 
 
-def _repeated(docs: DataFrame, least: float) -> DataFrame:
+def _repeated(docs: DataFrame, least: float, every: bool) -> DataFrame:
     """:func:`repeated_passages` with the ``version`` of the text."""
     scratch = Scratch(docs.sparkSession, "passages")
     id_of, text_of = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     rows = versions(docs.select(id_of, text_of).filter("doc_id IS NOT NULL"))
-    found = scratch.cut(all_units(rows, least), "units")
+    found = scratch.cut(all_units(rows, least, every), "units")
     classes = _classes(found, scratch)
     linked = components(_paragraph_links(rows, found, classes, least, scratch), scratch)
 
@@ -436,7 +452,7 @@ def _repeated(docs: DataFrame, least: float) -> DataFrame:
 
 
 def _classes(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """``unit, first, last, n, at`` of equal paragraphs: the documents at both ends, and a place of one.
+    """``unit, like, first, last, n, at`` of equal paragraphs: the documents at both ends, and a place of one.
 
     Paragraphs of one hash that differ in the other are none of them equal; such a unit is left out.
     """
@@ -445,6 +461,7 @@ def _classes(found: DataFrame, scratch: Scratch) -> DataFrame:
         F.max("doc_id").alias("last"),
         F.count("*").alias("n"),
         F.min(F.struct(*KEY, "start", "end")).alias("at"),
+        F.min("like").alias("like"),
         F.min("check").alias("least"),
         F.max("check").alias("most"),
     )
@@ -452,12 +469,16 @@ def _classes(found: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _paragraph_links(rows: DataFrame, found: DataFrame, classes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """``a, b``: paragraphs that share a band and are similar enough, as a spanning forest."""
-    one = found.filter("bands IS NOT NULL").select("unit", F.explode("bands").alias("key"))
+    """``a, b``: paragraphs that share a band and are similar enough, as a spanning forest.
+
+    Paragraphs with a ``like`` are linked to it, and it stands for them in the buckets.
+    """
+    stands = F.coalesce("like", "unit").alias("unit")
+    one = found.filter("bands IS NOT NULL").select(stands, F.explode("bands").alias("key"))
     filed = one.groupBy("key", "unit").agg(F.lit(1).alias("x")).drop("x")
     size = scratch.cut(filed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     meets = scratch.cut(join_hot(filed, size, ["key"], "size"), "meets")
-    wanted = meets.select("unit").distinct().join(classes.select("unit", "at"), "unit")
+    wanted = meets.select("unit").distinct().join(classes.select(stands, "at"), "unit")
     place = F.struct("unit", "at.start", "at.end")
     of_doc = wanted.groupBy(*[F.col(f"at.{c}").alias(c) for c in KEY]).agg(F.collect_list(place).alias("wanted"))
 
@@ -479,7 +500,8 @@ def _paragraph_links(rows: DataFrame, found: DataFrame, classes: DataFrame, leas
     pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     group = F.when(F.col("blocks") == 1, F.col("key")).otherwise(pair)
     links = verified_links(parted.select(group.alias("key"), "unit").join(sets, "unit"), least)
-    links = scratch.cut(links, "links")
+    alike = classes.filter("like IS NOT NULL").select(F.col("unit").alias("a"), F.col("like").alias("b"))
+    links = scratch.cut(links.unionByName(alike), "links")
     for name in ("buckets", "meets", "sets"):
         scratch.drop(name)
     return links
@@ -518,12 +540,12 @@ def _windows_again(rows: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFr
     return islands.withColumn("held", held).filter("held").select(*KEY, "start", "end", "gone", "n", "owners")
 
 
-def cut_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def cut_passages(docs: DataFrame, least: float = 0.8, every: bool = False) -> DataFrame:
     """``docs`` with the removed spans of :func:`repeated_passages` cut out of ``text``; columns as they were.
 
     Rows without a ``doc_id`` keep their texts, as do null texts.
     """
-    gone = _repeated(docs, least).filter("n_removed > 0").select(*KEY, "removed")
+    gone = _repeated(docs, least, every).filter("n_removed > 0").select(*KEY, "removed")
     inner, names = numbered(docs)
     body = names[docs.columns.index("text")]
     wide = versions(inner, "__doc", body).join(gone.toDF("__doc", "version", "__cut"), ["__doc", "version"], "left")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, flat_graph, line_dedup, packing, passages, secrets, simhash, tokens, toxicity, vectors, wavelet
+from tessera.llm import decontam, flat_graph, line_dedup, packing, passages, queries, secrets, simhash, tokens, toxicity, vectors, wavelet
 from tessera.llm.common import Scratch, join_hot
 from tessera.llm.components import components
 from tessera.llm.token_counts import token_counts
@@ -157,6 +157,16 @@ def test_passages_by_hand(spark):
     assert got == want and len(want) == 39
 
 
+def test_the_query_links_paragraphs_that_say_words_over_and_over(spark, tmp_path):
+    """Near copies of such paragraphs, and those that say the same more often, are linked like any other."""
+    again = [w for w in prose(20, "again").split() for _ in range(3)]
+    rows = [(10, " ".join(again)), (11, " ".join([*again[:-1], "changed"])), (20, "the " * 90), (21, "the " * 120), (30, prose(60, "none"))]
+    rows += [(40 + k, "ha " * (30 + k) + "\n" + prose(40, f"ha{k}")) for k in range(9)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.n_removed_chars, x.documents) for x in queries.op2_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == passages_by_hand(rows) and got[11] == (len(rows[1][1]), [10]) and got[48][1] == [40]
+
+
 def test_passages_of_one_id_in_several_rows(spark):
     hidden = prose(55, "one id")
     rows = [(1, prose(40, 1) + "\n" + hidden), (2, prose(90, 2)), (2, prose(30, 3) + "\n" + hidden), (3, prose(60, 4)), (3, prose(60, 4)), (4, prose(50, 5)), (4, prose(50, 5) + "\nmore")]
