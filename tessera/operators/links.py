@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 def in_sequence() -> Window:
     return Window.partitionBy("doc_id").orderBy("seq")
@@ -59,31 +62,129 @@ def attach(units: DataFrame, links: DataFrame, parents: DataFrame) -> DataFrame:
     return out.withColumns({"relationships": F.coalesce("__r", "relationships"), "parent_id": F.coalesce("__p", "parent_id"), "child_ids": F.coalesce("__c", "child_ids")}).drop("__r", "__p", "__c")
 
 
-def _grams(text: Column, n: int = 4) -> Column:
-    """The distinct runs of ``n`` characters of a text of at least as many."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-    return F.array_distinct(F.transform(at, lambda i: text.substr(i, F.lit(n))))
+#: Characters that every name has at least; texts are looked at where the first of some name stand.
+HEAD = 4
+#: Bits of a filter of hashes, as a power of two.
+FILTER_BITS = 24
+#: Characters of texts that are hashed together.
+SPAN = 1 << 18
+_BASE = 0x100000001B3
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    both = (np.full(n, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    up, down = (np.multiply.accumulate(np.r_[np.uint64(1), x[1:]]) for x in both)
+    return up, down
+
+
+class _Hashes:
+    """Hashes of any run of characters of a text, by differences of one running polynomial sum."""
+
+    def __init__(self, text: str, powers: tuple[np.ndarray, np.ndarray]) -> None:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        self.n, self.down = len(points), powers[1]
+        self.total = np.zeros(self.n + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[0][: self.n], out=self.total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.total[end] - self.total[start]) * self.down[start]
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
+
+
+def _filters(keys: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Filters of the first characters of ``key`` and of whole ones, and the lengths. One job; the filters' size is the same for any number of rows."""
+
+    def hashed(batches):
+        for batch in batches:
+            key = batch.column("key").to_pylist()
+            if key:
+                n = np.array([len(k) for k in key])
+                end = np.cumsum(n)
+                hashes = _Hashes("".join(key), _powers(int(end[-1]) + 1))
+                found = hashes.of(end - n, end - n + HEAD).astype(np.int64), hashes.of(end - n, end).astype(np.int64), n
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["heads", "whole", "lengths"])
+
+    names = ("heads", "whole", "lengths")
+    sums = keys.select("key").distinct().mapInArrow(hashed, "heads long, whole long, lengths long")
+    each = sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("of"), F.shiftright(c, 15).alias("k"), F.col(c).bitwiseAND(F.lit(32767)).alias("bit")) for c in names])))
+    rows = each.groupBy("of", "k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = {c: np.zeros((1 << FILTER_BITS - 15, 4096), np.uint8) for c in names[:2]}
+    lengths = []
+    for r in rows:
+        bits = np.frombuffer(r["bits"], np.uint8)
+        if r["of"] in out:
+            out[r["of"]][r["k"]] = bits
+        else:
+            lengths += ((r["k"] << 15) + np.flatnonzero(np.unpackbits(bits, bitorder="little"))).tolist()
+    return out["heads"].ravel(), out["whole"].ravel(), sorted(lengths)
+
+
+def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _runs_of_names(texts: list[str], heads: np.ndarray, whole: np.ndarray, lengths: list[int], powers) -> set[tuple[int, str]]:
+    """(place in ``texts``, run) of what may be a name: its first characters and all of it pass the filters."""
+    text = "".join(texts)
+    found, ends = set(), np.cumsum([len(t) for t in texts])
+    hashes = _Hashes(text, powers)
+    at = np.arange(max(hashes.n - HEAD + 1, 0))
+    at = at[_holds(heads, hashes.of(at, at + HEAD))]
+    owner = np.searchsorted(ends, at, side="right")
+    for n in lengths if len(at) else ():
+        inside = at + n <= ends[owner]
+        start, own = at[inside], owner[inside]
+        hit = _holds(whole, hashes.of(start, start + n))
+        found.update((k, text[a : a + n]) for k, a in zip(own[hit].tolist(), start[hit].tolist()))
+    return found
+
+
+def _named(said: DataFrame, keys: DataFrame) -> DataFrame:
+    """``src_doc, src, key``: the runs of ``content`` that may be a ``key``; none that is one is missing.
+
+    Two filters of fixed size, of the keys' first characters and of whole keys, say which runs of the keys'
+    lengths leave a text; what passes by chance meets no key in the join that follows.
+    """
+
+    heads, whole, lengths = _filters(keys)
+    most, span = max(lengths, default=1), SPAN
+
+    def run(batches):
+        powers = _powers(2 * span + most)
+        for batch in batches:
+            rows, texts, held, found = [], [], 0, set()
+            for k, text in enumerate(batch.column("content").to_pylist()):
+                for a in range(0, len(text), span):  # a long text in pieces that overlap by a name
+                    rows.append(k)
+                    texts.append(text[a : a + span + most - 1])
+                    held += len(texts[-1])
+                    if held >= span:
+                        found.update((rows[j], key) for j, key in _runs_of_names(texts, heads, whole, lengths, powers))
+                        rows, texts, held = [], [], 0
+            found.update((rows[j], key) for j, key in _runs_of_names(texts, heads, whole, lengths, powers))
+            if found:
+                place = pa.array([k for k, _ in found])
+                yield pa.RecordBatch.from_arrays([batch.column("src_doc").take(place), batch.column("src").take(place), pa.array([key for _, key in found], pa.string())], ["src_doc", "src", "key"])
+
+    return said.filter("content IS NOT NULL").mapInArrow(run, StructType([*said.select("src_doc", "src").schema, StructField("key", StringType())]))
 
 
 def mentions(units: DataFrame, files: DataFrame) -> DataFrame:
     """Units that name another document's file: ``src_doc, src, dst_doc, dst``.
 
     ``files`` has ``doc_id, name``. A name counts, in either case and also within longer words, as whole or
-    without its extension, if what is left has more than three characters. Each name is filed under that one
-    of its four-character runs which the fewest names have, so texts meet names by an equal key and not each
-    with each; the texts themselves go only to the pairs that met. Null names and contents name nothing.
+    without its extension, if what is left has more than three characters. Texts are read once; what leaves
+    them are runs of characters that may be names, which meet the names by an equal key. Null names and
+    contents name nothing.
     """
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
-    lowered = files.select("doc_id", F.lower("name").alias("name")).filter(F.length(stem) > 3)
-    keys = lowered.select(F.col("doc_id").alias("dst_doc"), F.explode(F.array_distinct(F.array("name", stem))).alias("key"))
-    runs = keys.withColumn("gram", F.explode(_grams(F.col("key"))))
-    named = runs.join(runs.groupBy("gram").agg(F.count("*").alias("n")), "gram")
-    named = named.groupBy("dst_doc", "key").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    lowered = files.select("doc_id", F.lower("name").alias("name")).filter(F.length(stem) >= HEAD)
+    keys = lowered.select(F.col("doc_id").alias("dst_doc"), F.explode(F.array_distinct(F.array("name", stem))).alias("key")).distinct()
     said = units.select(F.col("doc_id").alias("src_doc"), F.col("id").alias("src"), F.lower("content").alias("content"))
-    met = said.select("src_doc", "src", F.explode(_grams(F.col("content"))).alias("gram")).join(named, "gram").filter("src_doc <> dst_doc")
-    hits = met.join(said, ["src_doc", "src"]).filter(F.col("content").contains(F.col("key"))).select("src_doc", "src", "dst_doc").distinct()
     anchors = units.groupBy(F.col("doc_id").alias("dst_doc")).agg(F.max_by("id", F.when(F.col("unit_type").isin("section", "schema_card"), F.col("seq"))).alias("last"), F.min_by("id", "seq").alias("first"))
-    return hits.join(anchors, "dst_doc").select("src_doc", "src", "dst_doc", F.coalesce("last", "first").alias("dst"))
+    ends = keys.join(anchors, "dst_doc").select("key", "dst_doc", F.coalesce("last", "first").alias("dst"))
+    return _named(said, keys).join(ends, "key").filter("src_doc <> dst_doc").select("src_doc", "src", "dst_doc", "dst").distinct()
 
 
 def containments(docs: DataFrame, probes: DataFrame) -> DataFrame:
