@@ -38,8 +38,9 @@ def candidates(elements: DataFrame, edges: DataFrame, weights: Weights = Weights
     ``reason``, ``is_hard``, ``is_soft`` and ``base_score``, which leaves out what depends on the region (the
     loss and the distance from the target). Neighbours come from windows over the document; edges are joined.
     """
-    before = ["id", "kind", "text", "t0", "t1", "speaker", "visual_summary", "scene", "visual_change_type", "ocr_text"]
-    e = elements.withColumn("tokens", counter(F.col("text")))
+    before = ["id", "kind", "text", "t0", "t1", "speaker", "visual_summary", "scene", "visual_change_type", "ocr_text", "asks"]
+    # what is wanted of a text, so that no whole one is shuffled
+    e = elements.withColumns({"tokens": counter(F.col("text")), "asks": is_question(F.col("text")), "text": F.substring("text", 1, 60)})
     e = e.select("doc_id", "pos", "tokens", "level", *before, *[F.lag(c).over(reading()).alias(f"b_{c}") for c in before], F.sum("tokens").over(reading().rowsBetween(Window.unboundedPreceding, -1)).alias("tokens_before")).filter("b_id IS NOT NULL")
     capped = edges.filter("type = 'captions'").select("doc_id", F.col("src").alias("b_id"), F.col("dst").alias("id"))
     capped = capped.unionByName(capped.select("doc_id", F.col("id").alias("b_id"), F.col("b_id").alias("id"))).withColumn("capped", F.lit(True))
@@ -67,7 +68,7 @@ def candidates(elements: DataFrame, edges: DataFrame, weights: Weights = Weights
         "visual_change": visual,
         "scene_change": F.when(c("kind") == "visual_event", 0.95),
         "ocr_change": F.when((c("b_ocr_text") != "") & (c("ocr_text") != "") & (c("b_ocr_text") != c("ocr_text")), 0.80),
-        "qa_transition": F.when(is_question(c("b_text")), 0.90),
+        "qa_transition": F.when(c("b_asks"), 0.90),
         "is_hard": F.coalesce(heading & (level <= 2), F.lit(False)),
         "gap": gap,
     })

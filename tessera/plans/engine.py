@@ -59,21 +59,31 @@ def process(elements: DataFrame, documents: DataFrame | None = None, config: Con
     """Units of every document in ``elements``.
 
     ``documents`` may give ``doc_id, title, source_uri, sha256``. Each strategy is a branch over the documents
-    that are routed to it; branches without documents cost a scan of the profile.
+    that are routed to it; routes that no document takes are left out. What is known of an element besides
+    its text is made without the text, and texts are shuffled in steps whose files go before the next.
     """
     scratch = Scratch(elements.sparkSession)
     none = F.array().cast("array<string>")
     e = scratch.cut(conform(clean_elements(as_elements(elements), config.normalise), ELEMENTS), "clean")
-    e = scratch.cut(e.join(heading_paths(e), ["doc_id", "id"], "left").withColumn("path", F.coalesce("path", none)), "elements")
     edges = scratch.cut(build_edges(e), "edges")
-    profile = route(build_profile(e, config.counter), vectors is not None)
+    profile = scratch.cut(route(build_profile(e, config.counter), vectors is not None), "profile")
+    routes = {r["route"] for r in profile.select("route").distinct().collect()}
+    places = scratch.cut(_places(e, edges, profile, vectors), "places")
+    placed = e.join(places, ["doc_id", "pos", "id"], "left").withColumn("path", F.coalesce("path", none))
+    placed = scratch.cut(placed, "elements")
+    scratch.drop("clean")
+    scratch.drop("places")
+    e = placed.select(*ELEMENTS)
     title = titles(e, documents)
-    routed = e.join(profile.select("doc_id", "route", "heading_density"), "doc_id")
-    captioned = edges.filter("type = 'captions'").groupBy("doc_id", F.col("dst").alias("id")).agg(F.sort_array(F.collect_set("src")).alias("__caps"))
-    routed = routed.join(captioned, ["doc_id", "id"], "left").withColumn("caption_ids", F.coalesce("__caps", "caption_ids")).drop("__caps")
+    routed = placed.filter("route IS NOT NULL").drop("caption_ids").withColumnRenamed("captions", "caption_ids")
 
     whole = routed.filter("route <> 'tabular'")
-    parts = [_atomic(whole, config), _prose(whole, edges, config, vectors), _timed(whole.filter("route = 'temporal'"), edges, config), _datasets(routed.filter("route = 'tabular'"), documents, config)]
+    parts = [_atomic(whole.filter("floated"), config), scratch.cut(_prose(whole.filter("region IS NOT NULL"), edges, config, scratch), "prose")]
+    scratch.drop("cuts")
+    if "temporal" in routes:
+        parts.append(_timed(whole.filter("route = 'temporal'"), edges, config))
+    if "tabular" in routes:
+        parts.append(_datasets(routed.filter("route = 'tabular'"), documents, config))
     raw = parts[0]
     for p in parts[1:]:
         raw = raw.unionByName(p, allowMissingColumns=True)
@@ -83,9 +93,31 @@ def process(elements: DataFrame, documents: DataFrame | None = None, config: Con
     if documents is not None:
         raw = raw.join(conform(documents, {"doc_id": "bigint", "source_uri": "string", "sha256": "string"}), "doc_id", "left")
     units = scratch.cut(as_units(raw), "units")
+    scratch.drop("prose")
     every = links.reference_links(units, edges).unionByName(links.order_links(units)).unionByName(links.schema_links(units))
     units = quality.completeness(links.attach(units, every, links.hierarchy_links(units)))
-    return Result(e.drop("path"), edges, actual_route(profile, units.filter(F.col("strategy").isin("structural", "semantic", "paragraph_fallback"))), conform(units, UNITS))
+    return Result(e, edges, actual_route(profile, units.filter(F.col("strategy").isin("structural", "semantic", "paragraph_fallback"))), conform(units, UNITS))
+
+
+def _places(e: DataFrame, edges: DataFrame, profile: DataFrame, vectors: DataFrame | None) -> DataFrame:
+    """What is known of each element besides its text: ``doc_id, pos, id, route, heading_density, captions, floated, path``
+    and, of what stays in the stream of prose, ``region, strategy``. ``floated``: its document has tables or figures."""
+    p = e.select("doc_id", "pos", "id", "kind", "caption_ids").join(profile.select("doc_id", "route", "heading_density"), "doc_id")
+    captioned = edges.filter("type = 'captions'").groupBy("doc_id", F.col("dst").alias("id")).agg(F.sort_array(F.collect_set("src")).alias("__caps"))
+    p = p.join(captioned, ["doc_id", "id"], "left").withColumn("caption_ids", F.coalesce("__caps", "caption_ids")).drop("__caps")
+    p = p.withColumn("floated", F.max(F.col("kind").isin("table", "figure")).over(Window.partitionBy("doc_id")))
+    _, stream = chunk.carve_floats(p.filter("route NOT IN ('tabular', 'temporal')"))
+    regions = chunk.sections(stream.filter("route = 'structural'")).withColumn("strategy", F.lit("structural"))
+    flat = stream.filter("route <> 'structural'")
+    if vectors is not None:
+        grouped = chunk.semantic_groups(flat, vectors)
+        some = F.max("region").over(Window.partitionBy("doc_id")) > 0
+        flat = grouped.withColumn("strategy", F.when(some, "semantic").otherwise("paragraph_fallback"))
+    else:
+        flat = flat.withColumn("region", F.lit(0).cast("int")).withColumn("strategy", F.lit("paragraph_fallback"))
+    regions = regions.unionByName(flat).select("doc_id", "pos", "id", "region", "strategy")
+    p = p.withColumnRenamed("caption_ids", "captions").drop("kind").join(regions, ["doc_id", "pos", "id"], "left")
+    return p.join(heading_paths(e), ["doc_id", "id"], "left")
 
 
 def _atomic(e: DataFrame, config: Config) -> DataFrame:
@@ -102,22 +134,13 @@ def _atomic(e: DataFrame, config: Config) -> DataFrame:
     )
 
 
-def _prose(e: DataFrame, edges: DataFrame, config: Config, vectors: DataFrame | None) -> DataFrame:
-    _, stream = chunk.carve_floats(e.filter("route <> 'temporal'"))
-    one = F.lit(0).cast("int")
-    regions = chunk.sections(stream.filter("route = 'structural'")).withColumn("strategy", F.lit("structural"))
-    flat = stream.filter("route <> 'structural'")
-    if vectors is not None:
-        grouped = chunk.semantic_groups(flat, vectors)
-        some = F.max("region").over(Window.partitionBy("doc_id")) > 0
-        flat = grouped.withColumn("strategy", F.when(some, "semantic").otherwise("paragraph_fallback"))
-    else:
-        flat = flat.withColumn("region", one).withColumn("strategy", F.lit("paragraph_fallback"))
-    regions = regions.unionByName(flat)
-    cuts = chunk.cut_regions(regions, edges, config.weights, config.target_tokens, config.max_tokens, config.rebalance, config.counter)
-    units = chunk.text_units(regions, cuts, config.counter)
-    anchor = regions.select("doc_id", F.col("id").alias("anchor_id"), F.col("text").alias("anchor_text"), "strategy", "heading_density", "page", "path")
-    u = units.join(anchor, ["doc_id", "anchor_id"])
+def _prose(regions: DataFrame, edges: DataFrame, config: Config, scratch: Scratch) -> DataFrame:
+    cuts = scratch.cut(chunk.cut_regions(regions, edges, config.weights, config.target_tokens, config.max_tokens, config.rebalance, config.counter), "cuts")
+    # texts are dealt out once, by document, for the join with the cuts and for what is put together
+    units = chunk.text_units(regions.repartition("doc_id"), cuts.repartition("doc_id"), config.counter)
+    anchor = regions.select("doc_id", "pos", "id", F.when(F.col("kind") == "heading", F.col("text")).alias("anchor_text"), "strategy", "heading_density", "page", "path")
+    anchor = cuts.groupBy("doc_id", "unit").agg(F.min("pos").alias("pos")).join(anchor, ["doc_id", "pos"]).drop("pos").repartition("doc_id")
+    u = units.join(anchor, ["doc_id", "unit"]).filter("id = anchor_id").drop("id")
     headed = F.col("anchor_kind") == "heading"
     u = u.withColumn("heading_path", F.when(headed, F.concat("path", F.array("anchor_text"))).otherwise(F.col("path")))
     whole = (

@@ -20,6 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Spark's setting by which the shuffle files of a plan are removed as it ends, not when the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting by which tables that are both dealt out by document are joined by document and place as they lie.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
 class Scratch:
     """Tables of one run. Plans that refer to one several times read it instead of making it again."""
 
@@ -27,9 +33,19 @@ class Scratch:
         self.spark, self.base = spark, f"{shared_dir(spark)}/run-{uuid.uuid4().hex[:12]}"
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+        """Write ``df`` and read it back. Its shuffle files, which nothing reads again, go when it is written."""
+        wanted = {SHUFFLE_CLEANUP: "true", ALL_KEYS: "false"}
+        before = {k: self.spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            self.spark.conf.set(k, v)
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.base}/{name}")
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+    def drop(self, name: str = "") -> None:
+        """Remove one table, or all of them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
