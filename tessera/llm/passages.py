@@ -309,6 +309,83 @@ def all_windows_near(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, version long, unit long, start int, end int, sure boolean")
 
 
+#: Start, end and whether it was found, of a window, in one number.
+PLACE = "shiftleft(CAST(start AS LONG), 32) | shiftleft(CAST(end AS LONG), 1) | CAST(sure AS LONG)"
+#: What windows are sorted by: half a hash of the document, then the start. One number is sorted by its digits.
+DEAL = "shiftleft(xxhash64(doc_id, version), 32) | shiftright(place, 32)"
+ISLAND = "doc_id long, version long, island int, part int, gone boolean, start int, end int, sure boolean, n long, owners array<long>"
+
+
+def islands_of(batches):
+    """Rows of ISLAND for windows ``doc_id, version, place, owner, deal`` that come sorted by ``deal``.
+
+    Windows of a text that touch are an island; those of them that another document keeps are parted where they
+    don't touch. Both go by the start of their first window, and a window that the document keeps itself by the
+    part before it. An island or part that goes on in the next batch has a row in each.
+    """
+    held, top = {}, None  # reach, island, reach of what others keep, part: of the texts whose hash the last row has
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in ("doc_id", "version", "place", "owner", "deal")]
+        hashes = columns[-1] >> 32
+        changes = lambda doc, version: np.r_[True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])]
+        if top != hashes[-1]:
+            kept, top = held, hashes[-1]
+            held = {}
+        else:
+            kept = held
+        if (changes(*columns[:2])[1:] & (hashes[1:] == hashes[:-1])).any():  # two texts of one hash
+            order = np.lexsort((columns[4], columns[1], columns[0]))
+            columns, hashes = [c[order] for c in columns], hashes[order]
+        doc, version, place, owner, _ = columns
+        start, end, sure, gone = place >> 32, (place & 0xFFFFFFFF) >> 1, (place & 1).astype(bool), owner != doc
+        change = changes(doc, version)
+        first, row = np.flatnonzero(change), np.arange(len(doc))
+        before = np.full((4, len(first)), -1, np.int64)  # as in held, -1 for none
+        for (d, v), state in kept.items():
+            before[:, (doc[first] == d) & (version[first] == v)] = np.array(state)[:, None]
+        # windows have one number of words, so they end in the order in which they start
+        reach = np.r_[-1, end[:-1]]
+        reach[first] = before[0]
+        apart = start > reach
+        name = start.copy()
+        name[first] = np.where(apart[first], start[first], before[1])
+        island = name[np.maximum.accumulate(np.where(apart | change, row, 0))]
+        at, text = np.flatnonzero(gone), np.cumsum(change) - 1
+        goes = np.r_[-1, end[at][:-1]][: len(at)]
+        head = np.flatnonzero(np.r_[True, text[at][1:] != text[at][:-1]][: len(at)])
+        goes[head] = before[2][text[at[head]]]
+        fresh = np.zeros(len(doc), bool)
+        fresh[at] = start[at] > goes
+        name = start.copy()
+        name[first] = np.where(fresh[first], start[first], before[3])
+        part = name[np.maximum.accumulate(np.where(fresh | change, row, 0))]
+
+        for rows, is_gone in ((at, True), (np.flatnonzero(~gone), False)):
+            if not len(rows):
+                continue
+            i, k, o, t = island[rows], part[rows], owner[rows], text[rows]
+            new = np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1]) | (t[1:] != t[:-1])]
+            begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+            once = np.flatnonzero(new | np.r_[True, o[1:] != o[:-1]])
+            once = once[np.lexsort((o[once], group[once]))]
+            once = once[np.r_[True, (group[once][1:] != group[once][:-1]) | (o[once][1:] != o[once][:-1])]]
+            owners = pa.ListArray.from_arrays(pa.array(np.searchsorted(group[once], np.arange(len(begin) + 1)).astype(np.int32)), pa.array(o[once]))
+            size = np.diff(np.r_[begin, len(rows)])
+            one, other = rows[begin], rows[begin + size - 1]
+            places = [pa.array(x.astype(np.int32)) for x in (i[begin], k[begin], start[one], end[other])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[one]), pa.array(version[one]), *places[:2], pa.array(np.full(len(begin), is_gone)), *places[2:], pa.array(np.logical_or.reduceat(sure[rows], begin)), pa.array(size), owners],
+                ["doc_id", "version", "island", "part", "gone", "start", "end", "sure", "n", "owners"],
+            )
+        last = np.r_[first[1:], len(doc)] - 1
+        gone_reach = np.maximum(np.maximum.reduceat(np.where(gone, end, -1), first), before[2])
+        for j in np.flatnonzero(hashes[last] == top).tolist():
+            z = last[j]
+            held[int(doc[z]), int(version[z])] = int(end[z]), int(island[z]), int(gone_reach[j]), int(part[z])
+
+
 def shingle_set(text: str) -> np.ndarray:
     return np.unique(rolling(Words(text).hashes(), SHINGLE))
 
@@ -404,8 +481,8 @@ def _repeated(docs: DataFrame, least: float, every: bool) -> DataFrame:
     id_of, text_of = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     rows = versions(docs.select(id_of, text_of).filter("doc_id IS NOT NULL"))
     found = scratch.cut(all_units(rows, least, every), "units")
-    classes = _classes(found, scratch)
-    linked = components(_paragraph_links(rows, found, classes, least, scratch), scratch)
+    classes, banded = _classes(found, scratch)
+    linked = components(_paragraph_links(rows, banded, classes, least, scratch), scratch)
 
     joined = classes.select("unit", "first", "last", "n").join(linked.withColumnRenamed("id", "unit"), "unit", "left")
     of_part = joined.filter("component_id IS NOT NULL")
@@ -451,9 +528,11 @@ def _repeated(docs: DataFrame, least: float, every: bool) -> DataFrame:
     )
 
 
-def _classes(found: DataFrame, scratch: Scratch) -> DataFrame:
+def _classes(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``unit, like, first, last, n, at`` of equal paragraphs: the documents at both ends, and a place of one.
 
+    Then ``unit, like, bands``: equal paragraphs have equal bands.
+
     Paragraphs of one hash that differ in the other are none of them equal; such a unit is left out.
     """
     classes = found.filter("bands IS NOT NULL").groupBy("unit").agg(
@@ -464,18 +543,20 @@ def _classes(found: DataFrame, scratch: Scratch) -> DataFrame:
         F.min("like").alias("like"),
         F.min("check").alias("least"),
         F.max("check").alias("most"),
+        F.first("bands").alias("bands"),
     )
-    return scratch.cut(classes.filter("least = most").drop("least", "most"), "classes")
+    wide = scratch.cut(classes.filter("least = most").drop("least", "most"), "banded")
+    return scratch.cut(wide.drop("bands"), "classes"), wide.select("unit", "like", "bands")
 
 
-def _paragraph_links(rows: DataFrame, found: DataFrame, classes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+def _paragraph_links(rows: DataFrame, banded: DataFrame, classes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """``a, b``: paragraphs that share a band and are similar enough, as a spanning forest.
 
     Paragraphs with a ``like`` are linked to it, and it stands for them in the buckets.
     """
     stands = F.coalesce("like", "unit").alias("unit")
-    one = found.filter("bands IS NOT NULL").select(stands, F.explode("bands").alias("key"))
-    filed = one.groupBy("key", "unit").agg(F.lit(1).alias("x")).drop("x")
+    alone = banded.filter("like IS NULL").select("unit", F.explode("bands").alias("key"))
+    filed = alone.unionByName(banded.filter("like IS NOT NULL").select(F.col("like").alias("unit"), F.explode("bands").alias("key")).distinct())
     size = scratch.cut(filed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     meets = scratch.cut(join_hot(filed, size, ["key"], "size"), "meets")
     wanted = meets.select("unit").distinct().join(classes.select(stands, "at"), "unit")
@@ -502,7 +583,7 @@ def _paragraph_links(rows: DataFrame, found: DataFrame, classes: DataFrame, leas
     links = verified_links(parted.select(group.alias("key"), "unit").join(sets, "unit"), least)
     alike = classes.filter("like IS NOT NULL").select(F.col("unit").alias("a"), F.col("like").alias("b"))
     links = scratch.cut(links.unionByName(alike), "links")
-    for name in ("buckets", "meets", "sets"):
+    for name in ("banded", "buckets", "meets", "sets"):
         scratch.drop(name)
     return links
 
@@ -517,24 +598,9 @@ def _windows_again(rows: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFr
     near = scratch.cut(all_windows_near(rows.join(seen, KEY)), "near")
     ends = F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")
     again = near.groupBy("unit").agg(*ends).filter("owner < last").select("unit", "n", "owner")
-    again = join_hot(near, scratch.cut(again, "again"), ["unit"], "n").select(*KEY, "start", "end", "sure", "owner")
-    again = again.withColumn("gone", F.col("doc_id") != F.col("owner"))
-
-    order = Window.partitionBy(*KEY).orderBy("start", "end")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    goes = F.when(F.col("gone"), F.col("end"))
-    again = again.withColumn("reach", F.max("end").over(before)).withColumn("gone_reach", F.max(goes).over(before))
-    apart = F.when(F.col("start") > F.col("reach"), 1).otherwise(0)
-    gone_apart = F.when(F.col("gone") & (F.col("start") > F.col("gone_reach")), 1).otherwise(0)
-    again = again.withColumn("island", F.sum(apart).over(order)).withColumn("part", F.sum(gone_apart).over(order))
-    islands = again.groupBy(*KEY, "island", "part", "gone").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.max("sure").alias("sure"),
-        F.count("*").alias("n"),
-        F.collect_set("owner").alias("owners"),
-    )
-    islands = scratch.cut(islands, "islands")
+    again = join_hot(near.select(*KEY, "unit", F.expr(PLACE).alias("place")), scratch.cut(again, "again"), ["unit"], "n").select(*KEY, "place", "owner")
+    sorted_windows = again.repartition(*KEY).withColumn("deal", F.expr(DEAL)).sortWithinPartitions("deal")
+    islands = scratch.cut(sorted_windows.mapInArrow(islands_of, ISLAND), "islands")
     scratch.drop("near")
     held = F.max("sure").over(Window.partitionBy(*KEY, "island"))
     return islands.withColumn("held", held).filter("held").select(*KEY, "start", "end", "gone", "n", "owners")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -236,6 +237,57 @@ def test_large_buckets_and_links(spark, monkeypatch):
             assert comp[d] in got[d].documents
 
 
+def islands_by_hand(rows):
+    """{(doc, version, island, gone part): (start, end, sure, n, owners)}, a row at a time."""
+    out, state = {}, {}
+    for d, v, start, end, sure, owner in sorted(rows):
+        reach, island, gone_reach, part = state.get((d, v), (-1, -1, -1, -1))
+        island = start if start > reach else island
+        if owner != d:
+            part, gone_reach = start if start > gone_reach else part, end
+        state[d, v] = end, island, gone_reach, part
+        s, e, any_sure, n, owners = out.get((d, v, island, part, owner != d), (start, end, False, 0, set()))
+        out[d, v, island, part, owner != d] = s, end, any_sure or sure, n + 1, owners | {owner}
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_islands_of_any_batches_and_equal_hashes(size):
+    r = random.Random(size)
+    rows = []
+    for d, v in ((5, 0), (6, 0), (6, 9), (7, 0), (8, 0), (-4, 0)):
+        at = 0
+        for _ in range(60):
+            at += r.choice([1, 2, 3, 30])
+            rows.append((d, v, at, at + 9, r.random() < 0.1, r.choice([d, d, 1, 2])))
+    hashed = {(5, 0): -3, (6, 0): -3, (6, 9): 8, (7, 0): 8, (8, 0): 9, (-4, 0): 9}  # two of each
+    rows.sort(key=lambda x: (hashed[x[:2]], x[2]))
+    columns = zip(*((d, v, s << 32 | e << 1 | sure, o, hashed[d, v] << 32 | s) for d, v, s, e, sure, o in rows))
+    whole = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "version", "place", "owner", "deal"])
+    got = {}
+    for batch in passages.islands_of(whole.slice(k, size) for k in range(0, len(rows), size)):
+        for x in batch.to_pylist():
+            key = x["doc_id"], x["version"], x["island"], x["part"], x["gone"]
+            s, e, sure, n, owners = got.get(key, (x["start"], x["end"], False, 0, set()))
+            got[key] = min(s, x["start"]), max(e, x["end"]), sure or x["sure"], n + x["n"], owners | set(x["owners"])
+    assert got == islands_by_hand(rows)
+
+
+def test_bands_are_filed_once_for_equal_paragraphs(spark, monkeypatch):
+    same = prose(40, "same")
+    filed, cut = [], Scratch.cut
+
+    def spied(self, df, name, *more):
+        out = cut(self, df, name, *more)
+        if name == "banded":
+            filed.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "cut", spied)
+    got = passages.repeated_passages(docs(spark, [(k, same) for k in range(1, 30)] + [(90, prose(40, "other"))]), every=True).collect()
+    assert len(got) == 29 and filed == [2]
+
+
 def test_passages_odd(spark):
     got = passages.repeated_passages(odd(spark)).collect()
     assert {x.doc_id for x in got} <= {1, 2, 3, 4, 5, 6, 7, 8, 9} and passages.repeated_passages(empty(spark)).count() == 0
