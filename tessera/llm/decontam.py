@@ -19,6 +19,8 @@ LANE_MAX = 30_000
 #: Rows of the benchmark's shingles, and of its filed fingerprints, that are broadcast (up to some 50 bytes
 #: each); larger benchmarks are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bits of the filter of documents that have windows, as a power of two; 64 are a row of what is broadcast.
+FILTER_BITS = 24
 
 
 def words_of(text: Column) -> Column:
@@ -122,6 +124,19 @@ def starts(at: Column, size: Column, long: Column, least: float) -> Column:
     return F.concat(whole, ranges(short, F.greatest(size - long + 1, F.lit(0)), size - short))
 
 
+def sifted(rows: DataFrame, some: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` whose key ``some`` may have: all that it has, and of the others as many as share a bit with one.
+
+    A key's hash is one of 2**FILTER_BITS bits. They are broadcast as at most 2**(FILTER_BITS - 6) rows, for any number of keys.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(*on), 64 - FILTER_BITS)
+    word, bit = F.shiftright(h, 6), h.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    words = some.select(word.alias("__word"), one.alias("one")).groupBy("__word").agg(F.bit_or("one").alias("__bits"))
+    met = rows.withColumn("__word", word).join(F.broadcast(words), "__word")
+    return met.filter(F.getbit("__bits", bit) == 1).drop("__word", "__bits")
+
+
 KEY = ["doc_id", "version"]
 FOUND = "doc_id long, item_id long, start_word int, n_words int, similarity double, n_windows long"
 
@@ -144,7 +159,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least:
     ``BLOCKS`` blocks one differs in at most ``FLIPS`` bits, so the items are filed under all values that near
     to theirs. The exact similarity decides on each candidate.
 
-    Only the windows and the items' shingles are shuffled or, while they are few, broadcast. A null or empty
+    Texts are shuffled of documents that have windows, which a filter of fixed size picks, and of the few that it
+    takes for such. The windows and the items' shingles are shuffled or, while they are few, broadcast. A null or empty
     text or item has no words and matches nothing. An item of fewer than ``words`` words is one shingle, as is
     a document: it is found in documents of the same words, not inside longer ones. Rows that repeat a
     ``doc_id`` are searched each, and give a pair once with its best window; rows without an id are left out;
@@ -173,9 +189,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least:
     if not windows.take(1):
         return spark.createDataFrame([], FOUND)
 
-    # windows are cut from the documents that have any; what the join moves is text, from which shingles are made again
+    # windows are cut from the documents that have any; what the join moves is their text, from which shingles are made again
     laid = windows.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "n_words")).alias("laid"))
-    hit_docs = with_shingles(rows.join(laid.hint("merge"), KEY), words).select(*KEY, "s", F.explode("laid").alias("l"))
+    hit_docs = with_shingles(sifted(rows, windows, KEY).join(laid.hint("merge"), KEY), words).select(*KEY, "s", F.explode("laid").alias("l"))
     hit_docs = hit_docs.select(*KEY, "s", "l.lo", "l.hi", "l.n_words").filter(F.col("lo") < F.size("s"))
     held = F.slice("s", F.col("lo") + 1, F.col("hi") - F.col("lo") + long).alias("s")
     ranges = hit_docs.select(*KEY, "lo", "hi", "n_words", held)

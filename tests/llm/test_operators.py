@@ -462,6 +462,37 @@ def test_contamination_by_shuffles(spark, monkeypatch):
     test_contamination(spark)
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_contamination_shuffles_texts_that_have_windows(spark):
+    item = prose(40, "item")
+    clean = [(d, "".join(f" {R.getrandbits(64):x}" for _ in range(4000))) for d in range(60)]
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    before = shuffled(spark)
+    got = decontam.contamination(docs(spark, [*clean, (100, prose(20, 1) + " " + item)]), b).collect()
+    assert [(x.doc_id, x.item_id) for x in got] == [(100, 1)]
+    assert shuffled(spark) - before < 0.1 * sum(len(t) for _, t in clean)
+
+
+def test_contamination_where_documents_share_bits(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "FILTER_BITS", 6)
+    test_contamination(spark)
+
+
+def test_sifted_loses_no_key(spark):
+    rows = spark.range(-3000, 3000).selectExpr("id AS doc_id", "id % 2 AS version", "CAST(id AS string) AS text")
+    some = rows.filter("doc_id % 10 = 0").select("doc_id", "version")
+    got = decontam.sifted(rows, some.union(some), decontam.KEY)
+    assert got.columns == rows.columns
+    held = [x.doc_id for x in got.collect()]
+    assert len(held) == len(set(held)) and set(range(-3000, 3000, 10)) <= set(held) and len(held) < 610
+    assert decontam.sifted(rows, some.limit(0), decontam.KEY).count() == 0
+
+
 def test_bags_with_repeats(spark):
     from collections import Counter
 
