@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, join_hot, numbered, versions
+from tessera.llm.common import PLAIN_FILES, Scratch, join_hot, numbered, versions
 
 #: Fixed value: the white space that is stripped from a line, U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
@@ -71,7 +71,8 @@ class LineRuns:
         name = f"run_{self.scratch.base.rpartition('-')[2]}_{self.written}"
         self.written += 1
         dealt = keys.select(*KEY).repartition(self.buckets, *KEY)
-        dealt.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self.scratch.path(name)).saveAsTable(name)
+        out = dealt.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).options(**PLAIN_FILES)
+        out.option("path", self.scratch.path(name)).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -34,7 +34,7 @@ class ByteLevelBPE:
         import regex
         import tiktoken
 
-        self.library = Library(path)
+        self.path = path
         self.long_blank = regex.compile(rf"\s{{{LONG_BLANK}}}")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         byte = _byte_of_char()
@@ -43,6 +43,11 @@ class ByteLevelBPE:
         self.pattern = regex.compile(BYTE_LEVEL)
         self.splitter = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
+    @cached_property
+    def library(self) -> Library:
+        """Loaded by the first text that needs it: few do, and each Python worker would hold it."""
+        return Library(self.path)
+
     @staticmethod
     def fits(spec: dict) -> bool:
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]

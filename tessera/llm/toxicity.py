@@ -203,10 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, bytes_
     label = {r.doc_id: (r.toxic, r.h) for rows in first for r in rows}
 
     def asked(ids):
-        wanted = spark.createDataFrame([(d,) for d in ids], "doc_id long")
+        # an Arrow table, as Python rows would start Python workers of another kind in each executor, which stay
+        wanted = spark.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64())}))
         return texts(docs).join(F.broadcast(wanted), "doc_id")
 
-    size = asked(label).groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).collect()
+    size = asked(list(label)).groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).collect()
     chosen, used = [], [0, 0]
     for r in sorted(size, key=lambda r: (label[r.doc_id][1], r.doc_id)):
         k = label[r.doc_id][0]

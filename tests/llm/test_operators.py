@@ -1,6 +1,8 @@
 """The training-data operators against brute force, and on rows that break things."""
 
 import hashlib
+import json
+import os
 import random
 import re
 import zlib
@@ -951,6 +953,45 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+def test_scratch_has_no_checksum_files(spark, monkeypatch):
+    written, run = [], line_dedup.LineRuns._put
+
+    def files(base):
+        return [f for _, _, found in os.walk(base.removeprefix("file://")) for f in found]
+
+    def spied(runs, keys, level):
+        run(runs, keys, level)
+        written.extend(files(runs.scratch.base))
+
+    monkeypatch.setattr(line_dedup.LineRuns, "_put", spied)
+    scratch = Scratch(spark, "t")
+    df = spark.range(40).select("id", (F.col("id") % 2).alias("k"))
+    assert scratch.cut(df, "plain").count() == scratch.cut(df, "parted", ("k",)).count() == 40
+    rows = [(d, f"A line in all documents\nand one of {d} alone") for d in range(30)]
+    assert sum(x.n_dropped for x in line_dedup.dedup_lines(docs(spark, rows)).collect()) == 29
+    names = files(scratch.base) + written
+    assert any(f.endswith(".parquet") for f in names) and not any(f.endswith(".crc") for f in names)
+
+
+def test_training_starts_no_python_rows(spark, monkeypatch):
+    rows, labels = docs(spark, [(d, prose(9, d)) for d in range(40)]), spark.createDataFrame([(d, d % 2) for d in range(40)], "doc_id long, toxic int")
+    want = toxicity.train(rows, labels)
+
+    def refuse(*_):
+        raise AssertionError("rows of Python objects")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    got = toxicity.train(rows, labels)
+    assert (got.toxic, got.ordinary) == (want.toxic, want.ordinary) and (got.weights == want.weights).all()
+
+
+def test_library_is_loaded_when_needed():
+    with open(BPE, encoding="utf-8") as f:
+        tok = tokens.ByteLevelBPE(json.load(f), BPE)
+    for text, held in [("plain words <|endoftext|>", False), (LONG_BLANKS[0], True)]:
+        assert [*tok.ids(text), 2] == ids_of(text, 2) and ("library" in vars(tok)) == held
+
+
 def test_join_hot(spark):
     rows = spark.createDataFrame([(0 if k < 3000 else k, k) for k in range(4000)], "key long, v long")
     keyed = rows.groupBy("key").agg(F.count("*").alias("n"))
